@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import near_duplicates, pack, repetition, split, tokenize
+from quernel.llm import near_duplicates, pack, repetition, similar_vectors, split, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Where the public vocabularies lie; the operators take the file as a parameter.
@@ -52,6 +52,8 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": lambda s, d: similar_vectors.found(table(s, d, "vectors")),
+    "p4_neighbours": lambda s, d: similar_vectors.neighbours(table(s, d, "vectors")),
     "p6_found": p6_found,
     "p8_ids": lambda s, d: tokenize.encode(table(s, d, "documents"), BYTE_BPE),
     "p9_containers": p9_containers,
@@ -69,6 +71,13 @@ SQL: dict[str, str] = {
     "p3_found": """
 SELECT id, max(list_max(list_transform(string_split_regex(text, '[ \\t\\n\\r\\f]'), lambda x: length(x))) > 2000)::INT AS hard_cut
 FROM chunks WHERE length(text) > 2000 GROUP BY id""",
+    "p4_found": """
+WITH v AS (SELECT DISTINCT id, embedding::DOUBLE[] AS v FROM vectors WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.id < b.id),
+e AS (SELECT a, b, c FROM p WHERE c >= 0.9 UNION ALL SELECT b, a, c FROM p WHERE c >= 0.9),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS n FROM e)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE n <= 5""",
     "p6_found": "WITH "
     + ", ".join(_SHINGLES.format(f"s{i}", f"{t}.{c}", k, _WORDS.format(c), t, c) for i, (t, k, c) in enumerate(P6_FIELDS))
     + """, s AS (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2), e AS (SELECT field_name, id, len(s) AS n, unnest(s) AS g FROM s WHERE len(s) >= 30),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import communities, near_duplicates, pack, repetition, similar_vectors, split, tokenize
+from quernel.llm import answer_pairs, communities, near_duplicates, pack, repetition, similar_vectors, split, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Where the public vocabularies lie; the operators take the file as a parameter.
@@ -50,6 +50,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": lambda s, d: answer_pairs.defects(table(s, d, "results")),
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": lambda s, d: similar_vectors.found(table(s, d, "vectors")),

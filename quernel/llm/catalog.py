@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import answer_pairs, communities, near_duplicates, pack, repetition, similar_vectors, split, tokenize
+from quernel.llm import answer_pairs, communities, near_duplicates, pack, repetition, scan_noise, similar_vectors, split, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Where the public vocabularies lie; the operators take the file as a parameter.
@@ -55,6 +55,8 @@ QUERIES: dict[str, Query] = {
     "p3_pieces": p3_pieces,
     "p4_found": lambda s, d: similar_vectors.found(table(s, d, "vectors")),
     "p4_neighbours": lambda s, d: similar_vectors.neighbours(table(s, d, "vectors")),
+    "p5_found": lambda s, d: scan_noise.found(table(s, d, "chunks")),
+    "p5_repaired": lambda s, d: scan_noise.repaired(split.newest(table(s, d, "chunks").select("id", "text", "created_at"))),
     "p6_found": p6_found,
     "p7_found": lambda s, d: communities.found(table(s, d, "vectors"), table(s, d, "probes")),
     "p7_clusters": lambda s, d: communities.described(table(s, d, "vectors")),

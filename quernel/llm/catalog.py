@@ -45,6 +45,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, key, text in P6_FIELDS:
+        part = near_duplicates.groups(table(spark, sf_dir, name), key, text).select(F.lit(f"{name}.{text}").alias("field_name"), "id", "group_id", "group_size", "links")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.containers(tokenize.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE))
 
@@ -58,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": lambda s, d: scan_noise.found(table(s, d, "chunks")),
     "p5_repaired": lambda s, d: scan_noise.repaired(split.newest(table(s, d, "chunks").select("id", "text", "created_at"))),
     "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_found": lambda s, d: communities.found(table(s, d, "vectors"), table(s, d, "probes")),
     "p7_clusters": lambda s, d: communities.described(table(s, d, "vectors")),
     "p8_ids": lambda s, d: tokenize.encode(table(s, d, "documents"), BYTE_BPE),

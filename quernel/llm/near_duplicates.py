@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm.buckets import near_pairs
 from quernel.llm.text import mix, runs_of_words, word_hashes
-from quernel.plans.lineage import cut
+from quernel.plans.lineage import cut, release
 
 
 @dataclass(frozen=True)
@@ -202,3 +202,32 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
     within = shared.select("class", F.col("id").alias("id_a")).join(shared.select("class", F.col("id").alias("id_b")), "class").where("id_a < id_b").select("id_a", "id_b")
     low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
     return across.unionByName(within).where("id_a <> id_b").select(low.alias("id_a"), high.alias("id_b")).distinct()
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """``(node, root)`` of the nodes of ``(a, b)``: the least node it is linked to over any way.  Labels fall to the
+    least neighbour's and then jump to their label's label, so rounds grow with the logarithm of the longest way."""
+    edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    while True:
+        least = edges.join(now.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
+        fallen = now.join(least, "node").select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
+        fallen = cut(fallen)
+        far = fallen.select(F.col("node").alias("root"), F.col("root").alias("_far"))
+        after = cut(fallen.join(far, "root").select("node", F.least("root", "_far").alias("root"), "was"))
+        release(fallen, now)
+        if after.where("root <> was").isEmpty():
+            return after.select("node", "root")
+        now = after
+
+
+def groups(df: DataFrame, id_col: str, text_col: str, how: Similarity = Similarity()) -> DataFrame:
+    """``(id, group_id, group_size, links)`` of each record that is alone in no group: the least id of its group, the
+    group's size, and the other classes it is similar to.  Copies are not expanded into pairs."""
+    members, pairs = class_pairs(df, id_col, text_col, how)
+    members, linked = cut(members), cut(pairs.select("a", "b"))
+    root = components(linked)
+    links = linked.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    placed = members.join(root.withColumnRenamed("node", "class"), "class", "left").join(links, "class", "left").select("id", F.coalesce("root", "class").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    sizes = placed.groupBy("root").agg(F.min("id").alias("group_id"), F.count_distinct("id").alias("group_size")).where("group_size > 1")
+    return placed.join(sizes, "root").groupBy("id", "group_id", "group_size").agg(F.max("links").alias("links"))

@@ -35,6 +35,20 @@ def test_near_duplicates(spark):
     assert N.near_duplicates(df.where("false"), "id", "text", how).count() == 0
 
 
+def test_groups(spark):
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    chain = []
+    for k in range(6):  # each like the one before, the ends unlike
+        chain.append(" ".join(base))
+        for _ in range(2):
+            base[rng.randrange(20 * k, 20 * k + 20)] = f"e{rng.randrange(9999)}"
+    other = " ".join(f"v{rng.randrange(4000)}" for _ in range(100))
+    rows = [(i, t) for i, t in enumerate(chain)] + [(50, other), (51, other), (50, other), (60, " ".join(f"u{i}" for i in range(90))), (61, None)]
+    got = {r.id: (r.group_id, r.group_size) for r in N.groups(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {**{i: (0, 6) for i in range(6)}, 50: (50, 2), 51: (50, 2)}
+
+
 def test_sketches_fill_every_bin():
     for n in (1, 3, 40, 5000):
         key = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)

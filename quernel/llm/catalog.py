@@ -37,6 +37,11 @@ P6 = near_duplicates.Similarity(words=3, threshold=0.6, min_shingles=30)
 P6_FIELDS = (("chunks", "id", "text"), ("doc_store", "id", "content"), ("documents", "doc_id", "text"))
 
 
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "vectors")
+    return similar_vectors.nearest(v.where("id % 50 = 0"), v)  # the stated query set, against all rows
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, key, text in P6_FIELDS:
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "p3_pieces": p3_pieces,
     "p4_found": lambda s, d: similar_vectors.found(table(s, d, "vectors")),
     "p4_neighbours": lambda s, d: similar_vectors.neighbours(table(s, d, "vectors")),
+    "p4_nearest": p4_nearest,
     "p5_found": lambda s, d: scan_noise.found(table(s, d, "chunks")),
     "p5_repaired": lambda s, d: scan_noise.repaired(split.newest(table(s, d, "chunks").select("id", "text", "created_at"))),
     "p6_found": p6_found,

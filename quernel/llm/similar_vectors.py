@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.buckets import near_pairs
+from quernel.llm.buckets import near_pairs, payloads
 from quernel.llm.text import mix
 from quernel.llm.vectors import matrix, padded, rotate, usable
 from quernel.plans.lineage import cut
@@ -170,3 +170,122 @@ def found(df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embeddi
     """``(id_a, id_b)``, id_a < id_b: vectors of which one is among the ``k`` most similar of the other."""
     near = neighbours(df, k, id_col, vec_col, how)
     return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
+
+
+# ---- the k nearest at any distance -----------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Nearest:
+    """Tables of keys of one digit or more (so many that a bucket has ``bucket`` rows in the mean, to a factor), of
+    which a query visits ``probes`` each: those whose axes are nearest to it.  On 200,000 of this project's vectors, with
+    two digits, that reaches 6 % of the rows.  ``hot`` rows of one key make a bucket that is dealt into several;
+    ``spare`` candidates more than k are reranked."""
+
+    dim: int = 64
+    tables: int = 8
+    probes: int = 50
+    bucket: int = 96
+    hot: int = 4096
+    spare: int = 10
+
+
+def _axis_scores(x: np.ndarray, seed: int) -> np.ndarray:
+    """Of each row, how near every signed axis is: twice as many columns, axis by axis, minus before plus."""
+    y = rotate(x, seed)
+    return np.stack([-y, y], axis=2).reshape(len(x), -1)
+
+
+def _nearest_keys(x: np.ndarray, how: Nearest, digits: int, probes: int) -> np.ndarray:
+    """The best ``probes`` keys in each table, in the order of the summed nearness of their axes."""
+    x = padded(x)
+    axes, out = 2 * x.shape[1], []
+    for t in range(how.tables):
+        key, total = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.float32)
+        for d in range(digits):
+            s = _axis_scores(x, 50_000 + 1000 * t + d)
+            wide = min(axes, 1 if probes == 1 else 24)
+            top = np.argpartition(-s, wide - 1, axis=1)[:, :wide]
+            total = (total[:, :, None] + np.take_along_axis(s, top, 1)[:, None, :]).reshape(len(x), -1)
+            key = (key[:, :, None] * axes + top[:, None, :]).reshape(len(x), -1)
+            if key.shape[1] > probes:
+                best = np.argpartition(-total, probes - 1, axis=1)[:, :probes]
+                key, total = np.take_along_axis(key, best, 1), np.take_along_axis(total, best, 1)
+        out.append(mix(key.astype(np.uint64) * np.uint64(how.tables) + np.uint64(t)).view(np.int64))
+    return np.concatenate(out, axis=1)
+
+
+def _keyed(df: DataFrame, how: Nearest, digits: int, probes: int) -> DataFrame:
+    """``(key, id, load)``: every vector under its keys, as one byte a value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                x = matrix(part.column(1), how.dim)
+                k = _nearest_keys(x, how, digits, probes)
+                small = np.clip(np.round(x * 127), -127, 127).astype(np.int8)
+                n = k.size
+                load = np.repeat(small, k.shape[1], axis=0).tobytes()
+                at = np.arange(0, how.dim * n + 1, how.dim, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), k.shape[1])), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(load)])], ["key", "id", "load"])
+
+    return df.mapInArrow(run, "key long, id long, load binary")
+
+
+def nearest(queries: DataFrame, df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embedding", how: Nearest = Nearest()) -> DataFrame:
+    """``(id, other_id, cosine, rank)``: the k most similar other vectors of each query, whatever their cosine, with
+    little loss.  ``queries`` are rows of ``df``; rows repeated under one id count once; unusable vectors take no
+    part; ties go to the lesser id; an empty table gives no rows."""
+    good = df.where(usable(vec_col, how.dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    asked = queries.where(usable(vec_col, how.dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    digits = max(1, round(math.log(max(1, df.count() / how.bucket)) / math.log(2 * 2 ** math.ceil(math.log2(how.dim)))))
+    rows = cut(_keyed(good, how, digits, 1))
+    hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > how.hot).select("key", F.ceil(F.col("n") / how.hot).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(hot, "key", "left").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "load")
+    probes = _keyed(asked, how, digits, how.probes).join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("asks"), "id", "load")
+    keep = k + how.spare
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, loads = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, part, asks, who = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            load = payloads(batch.column(4), how.dim).view(np.int8)
+            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1]), [True]]))
+            found = []
+            for a, b in zip(edges, edges[1:]):
+                bucket = (key[a], part[a])
+                if bucket != at:
+                    at, ids, loads = bucket, [], []
+                if not asks[a]:
+                    ids.append(who[a:b])
+                    loads.append(load[a:b])
+                elif ids:
+                    i, m = np.concatenate(ids), np.concatenate(loads).astype(np.float32)
+                    for lo in range(a, b, 1024):
+                        q = slice(lo, min(b, lo + 1024))
+                        s = load[q].astype(np.float32) @ m.T
+                        n = min(keep, len(i))
+                        best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                        found.append((np.repeat(who[q], n), i[best].reshape(-1), np.take_along_axis(s, best, 1).reshape(-1)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["id", "other_id", "near"])
+
+    met = dealt.unionByName(probes).repartition("key", "part").sortWithinPartitions("key", "part", "asks").mapInArrow(run, "id long, other_id long, near float")
+    rough = met.where("id <> other_id").groupBy("id", "other_id").agg(F.max("near").alias("near"))
+    first = Window.partitionBy("id").orderBy(F.desc("near"), "other_id")
+    short = cut(rough.withColumn("n", F.row_number().over(first)).where(F.col("n") <= keep).select("id", "other_id"))
+    theirs = good.join(short.select(F.col("other_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("other_id"), F.col("v").alias("w"))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c = np.einsum("ij,ij->i", matrix(batch.column(2), how.dim).astype(np.float64), matrix(batch.column(3), how.dim))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c)], ["id", "other_id", "cosine"])
+
+    scored = short.join(asked.dropDuplicates(["id"]), "id").join(theirs, "other_id").select("id", "other_id", "v", "w").mapInArrow(exact, "id long, other_id long, cosine double")
+    rank = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 9)), "other_id")
+    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)

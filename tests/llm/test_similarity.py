@@ -137,3 +137,16 @@ def test_neighbour_descent_recall():
     np.fill_diagonal(s, -2)
     true = np.argsort(-s, axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(idx.tolist(), true.tolist())]) > 0.9
+
+
+def test_nearest_at_any_distance(spark):
+    rng = np.random.default_rng(15)
+    x = vectors(rng, 300, 10)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist()), (900, None), (901, [0.0] * 64)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for how in (V.Nearest(), V.Nearest(hot=10)):  # as it is, and with most buckets dealt into several
+        got = {(r.id, r.other_id) for r in V.nearest(df.where("id % 50 = 0"), df, how=how).collect()}
+        want = {(q, int(b)) for q in range(0, len(x), 50) for b in [j for j in np.argsort(-(y[q] @ y.T), kind="stable") if j != q][:5]}
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+    assert V.nearest(df.where("false"), df.where("false")).count() == 0

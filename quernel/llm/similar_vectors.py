@@ -1,7 +1,7 @@
 """The most similar vectors of every vector, by cross-polytope hashing.
 
 Unit vectors are rotated pseudo-randomly and fall to the nearest signed axis.  Two such digits make the key of one
-table (more as the collection grows, so that buckets keep their size); the vector is also put under the key whose
+table (more as the collection grows, so that buckets keep their size, and then more tables and probes as well); the vector is also put under the key whose
 weakest digit is replaced by its second best axis.  Within a bucket 128 signs of two further rotations are compared,
 and the pairs that pass are verified with the vectors themselves.
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ class Search:
     """Pairs of at least ``cosine`` are sought.  Of 128 signs, vectors at 0.90 differ in 18 on average with a
     deviation of 3 (rotations are orthogonal, so less than by chance): up to ``differing`` keeps all but a few of ten
     thousand.  On this project's vectors seven tables with two probes meet 99.9 % of the pairs at 0.90 or more.
-    ``bucket`` is the mean size a bucket is to have."""
+    More digits are met more rarely: ``enough`` then adds tables and probes, so that of random pairs at ``cosine`` at
+    least ``recall`` meet whatever the size of the collection.  ``bucket`` is the mean size a bucket is to have."""
 
     dim: int = 64
     cosine: float = 0.90
@@ -38,6 +39,7 @@ class Search:
     probes: int = 2
     differing: int = 28
     bucket: int = 32
+    recall: float = 0.99
 
 
 def _digits(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +74,28 @@ def keys(x: np.ndarray, how: Search, digits: int) -> np.ndarray:
     return mix(np.stack(out, axis=1).astype(np.uint64) * np.uint64(how.tables) + table).view(np.int64)
 
 
+def met(how: Search, digits: int, pairs: int = 4000) -> np.ndarray:
+    """The share of random pairs at ``how.cosine`` that meet in the first table, the first two, and so on."""
+    rng = np.random.default_rng(5)
+    x, z = rng.standard_normal((2, pairs, how.dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= np.einsum("ij,ij->i", x, z)[:, None] * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = how.cosine * x + math.sqrt(1 - how.cosine**2) * z
+    a, b = (keys(v.astype(np.float32), how, digits).reshape(pairs, how.tables, -1) for v in (x, y))
+    return np.logical_or.accumulate((a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3)), axis=1).mean(axis=0)
+
+
+def enough(how: Search, digits: int) -> Search:
+    """``how`` with as many tables and probes as keys of so many digits need for ``how.recall``."""
+    if how.cosine >= 1 or how.dim < 2 or met(how, digits)[-1] >= how.recall:
+        return how
+    more = replace(how, probes=max(how.probes, digits))
+    while (share := met(more, digits))[-1] < how.recall:
+        more = replace(more, tables=2 * more.tables)
+    return replace(more, tables=max(how.tables, int(np.argmax(share >= how.recall)) + 1))
+
+
 def signs(x: np.ndarray) -> np.ndarray:
     """128 signs of two rotations, as 16 bytes a row."""
     x = padded(x)
@@ -125,7 +149,7 @@ def similar_classes(df: DataFrame, id_col: str = "id", vec_col: str = "embedding
     members = cut(good.select(F.col(id_col).alias("id"), _class(vec_col).alias("class")).distinct())
     n = df.count()
     digits = max(1, math.ceil(math.log(max(1, n / how.bucket)) / math.log(2 * 2 ** math.ceil(math.log2(how.dim)))))
-    candidates = cut(near_pairs(hashed(df, vec_col, how, digits), _few_differ(how.differing), width=16))
+    candidates = cut(near_pairs(hashed(df, vec_col, enough(how, digits), digits), _few_differ(how.differing), width=16))
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     lead = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("_lead")).select("_lead")
     vectors = cut(good.join(lead, F.col(id_col) == F.col("_lead"), "left_semi").select(_class(vec_col).alias("class"), F.col(vec_col).alias("v")).dropDuplicates(["class"]))

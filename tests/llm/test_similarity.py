@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quernel.llm import buckets as B
 from quernel.llm import communities as C
@@ -150,3 +151,28 @@ def test_nearest_at_any_distance(spark):
         want = {(q, int(b)) for q in range(0, len(x), 50) for b in [j for j in np.argsort(-(y[q] @ y.T), kind="stable") if j != q][:5]}
         assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
     assert V.nearest(df.where("false"), df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("digits", [1, 2, 3, 4])
+def test_pairs_meet_whatever_the_number_of_digits(digits):
+    how = V.enough(V.Search(), digits)
+    rng = np.random.default_rng(digits)
+    x, z = rng.standard_normal((2, 3000, how.dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (x * z).sum(axis=1, keepdims=True) * x
+    y = how.cosine * x + np.sqrt(1 - how.cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = (V.keys(v.astype(np.float32), how, digits) for v in (x, y))
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.98
+    assert how == V.Search() if digits <= 2 else how.tables > V.Search().tables
+
+
+def test_found_with_three_digits_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 64))
+    x = np.concatenate([x, x + 0.45 * rng.standard_normal(x.shape)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "id long, embedding array<float>")
+    how = V.Search(bucket=0.03)  # so few to a bucket that 600 rows need three digits
+    got = {(r.id_a, r.id_b) for r in V.found(df, how=how).collect()}
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T, 1) >= how.cosine))}
+    assert want and got <= want and len(got) >= 0.98 * len(want)

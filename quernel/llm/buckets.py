@@ -28,6 +28,34 @@ def payloads(column: pa.Array, width: int) -> np.ndarray:
     return flat[column.offset * width : (column.offset + len(column)) * width].reshape(-1, width)
 
 
+def binary(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix, the inverse of ``payloads``."""
+    n = len(rows)
+    flat = np.ascontiguousarray(rows).view(np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
+    ends = np.arange(0, n * flat.shape[1] + 1, flat.shape[1], dtype=np.int32)[: n + 1]
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list[np.ndarray]], least: int = 50_000) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches in pieces of about ``least`` rows that never divide a run of equal first values."""
+    held, n, want = [], 0, least
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(columns(b))
+        n += b.num_rows
+        if n < want:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held)]
+        edge = int(np.searchsorted(cols[0], cols[0][-1]))
+        if edge:
+            yield [c[:edge] for c in cols]
+        held, n = [[c[edge:] for c in cols]], n - edge
+        want = max(least, 2 * n)
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _compare(item_a, load_a, item_b, load_b, same: bool, test: Test) -> tuple[np.ndarray, np.ndarray]:
     i, j = test(load_a, load_b)
     a, b = item_a[i], item_b[j]
@@ -175,4 +203,4 @@ def _hot_pairs(rows: DataFrame, hot: DataFrame, test: Test, width: int, block: i
     return dealt.repartition("square").sortWithinPartitions("square").mapInArrow(squares, "a long, b long, hot long, size long").select("a", "b")
 
 
-__all__ = ["near_pairs", "payloads", "release"]
+__all__ = ["binary", "near_pairs", "payloads", "release", "whole_runs"]

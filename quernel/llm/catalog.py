@@ -74,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": lambda s, d: communities.found(table(s, d, "vectors"), table(s, d, "probes")),
+    "p7_members": lambda s, d: communities.members(table(s, d, "vectors")),
     "p7_clusters": lambda s, d: communities.described(table(s, d, "vectors")),
     "p8_ids": lambda s, d: tokenize.encode(table(s, d, "documents"), BYTE_BPE),
     "p9_containers": p9_containers,

@@ -114,30 +114,45 @@ def test_communities(spark):
             v = centre[k] * 0.7 + v * 0.7
             truth[i] = k
         rows.append((i, (v * rng.uniform(0.5, 3)).tolist()))
-    rows += [(0, rows[0][1]), (5000, None), (5001, [0.0] * 64)]
-    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    rows += [(0, rows[0][1]), (5000, None), (5001, [0.0] * 64)] + [(6000 + i, rows[7][1]) for i in range(4)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "id long, embedding array<float>, cluster string")
     probes = spark.createDataFrame([(k, centre[k].tolist()) for k in range(3)] + [(9, rng.normal(size=64).tolist())], "probe_id int, embedding array<float>")
-    how = C.Clustering(block=256, least_share=0.02)  # several blocks and levels
+    how = C.Clustering(cell=150, top=200)  # several cells, rotations and levels
     got = {tuple(r) for r in C.found(df, probes, how).collect()}
     x = np.array([r[1] for r in rows[:900]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ centre.T
     sure = {(i, k) for i, k in truth.items() if k < 3 and near[i, k] > 0.5 and np.sort(near[i])[-2] < 0.35}
-    assert len(sure) > 300 and sure <= got and all(truth.get(i) == p for i, p in got)
+    assert len(sure) > 300 and sure <= got and all(truth.get(i, 1) == p for i, p in got)
+    m = C.members(df, how=how).collect()
+    assert sorted(r.id for r in m) == [*range(900), *range(6000, 6004)]  # every usable vector is in a group, once
+    cluster = {r.id: r.cluster for r in m}
+    assert {cluster[i] for i in range(6000, 6004)} == {cluster[7]}
     d = {r.cluster: r for r in C.described(df, how=how).collect()}
-    assert len(d) == 5 and all(len(r.typical_ids) == 5 and len({truth[i] for i in r.typical_ids}) == 1 for r in d.values())
-    assert C.found(df.where("false"), probes, how).count() == 0
+    assert sum(r.size for r in d.values()) == len(m) and all(len(r.typical_ids) == min(5, r.size) and {cluster[i] for i in r.typical_ids} == {k} for k, r in d.items())
+    large = [r for r in d.values() if r.size > 100]
+    assert len(large) == 5 and all(len({truth.get(i % 6000 if i < 6000 else 7) for i in r.typical_ids}) == 1 for r in large)
+    assert C.found(df.where("false"), probes, how).count() == 0 and C.members(df.where("false")).count() == 0 and C.members(df.where("id = 3")).collect()[0].cluster == 3
 
 
-def test_neighbour_descent_recall():
+def test_graph_recall_over_many_cells(spark):
     rng = np.random.default_rng(11)
-    x = (rng.normal(size=(20, 64))[np.arange(1600) % 20] + rng.normal(size=(1600, 64))).astype(np.float32)
+    x = (rng.normal(size=(20, 64))[np.arange(4000) % 20] * 0.7 + rng.normal(size=(4000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    how = C.Clustering(cell=300, part=250, asked=100)  # 128 cells a rotation, the great ones dealt
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    idx, _ = C.neighbour_descent(x, 10, 10)
     s = x @ x.T
     np.fill_diagonal(s, -2)
-    true = np.argsort(-s, axis=1)[:, :10]
-    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(idx.tolist(), true.tolist())]) > 0.9
+    true = np.argsort(-s, axis=1)[:, : how.near]
+    item = {r.item: r.id for r in df.selectExpr("xxhash64(embedding) AS item", "id").collect()}
+    met = [len({item[j] for j in C._unpacked(np.frombuffer(r.list, np.uint8)[None], how.near)[0][0]} & set(true[item[r.item]].tolist())) for r in C.graph(df, how=how).collect()]
+    assert len(met) == 4000 and np.mean(met) / how.near > 0.9
+
+
+def test_modularity_parts_two_cliques():
+    a, b = np.triu_indices(6, 1)
+    com = C.modularity_communities(12, np.concatenate([a, a + 6, [0]]), np.concatenate([b, b + 6, [6]]), np.ones(31))
+    assert len(set(com[:6])) == 1 and len(set(com[6:])) == 1 and com[0] != com[6]
 
 
 def test_nearest_at_any_distance(spark):

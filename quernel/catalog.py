@@ -52,7 +52,14 @@ def p2_found(s, d):
     return hierarchy.found(table(s, d, "concept"))
 
 
-@query("p2_paths")
+_SUBTREES = """
+b AS (SELECT key AS top, key FROM n UNION SELECT b.top, n.key FROM b JOIN n ON n.parent = b.key),
+z AS (SELECT top AS key, count(*) AS subtree_size FROM b GROUP BY top),
+y AS (SELECT DISTINCT n.key FROM n JOIN b ON b.top = n.key AND b.key = n.parent)
+"""
+
+
+@query("p2_paths", f"WITH RECURSIVE {_CONCEPTS}, {_SUBTREES} SELECT n.id, coalesce(t.root_id, '') AS root_id, coalesce(t.depth, -1)::INT AS depth, CASE WHEN y.key IS NULL THEN z.subtree_size END::BIGINT AS subtree_size, t.path FROM n LEFT JOIN t USING (key) LEFT JOIN z USING (key) LEFT JOIN y USING (key)")
 def p2_paths(s, d):
     return hierarchy.paths(table(s, d, "concept"))
 

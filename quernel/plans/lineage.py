@@ -18,10 +18,13 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, a notebook) a folder of our own."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and the master is local (tests, a notebook) a
+    folder of our own.  On a cluster such a folder would lie on each executor's own disk, so there it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="quernel-"))
     return _fallback[0]

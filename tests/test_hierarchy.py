@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quernel.operators import hierarchy as H
 
 
@@ -23,7 +25,8 @@ def brute(rows):
     return out
 
 
-def test_random_forests(spark):
+@pytest.mark.parametrize("alone", [H.ALONE, 20, 0])  # one task, rounds and then one task, rounds only
+def test_random_forests(spark, alone):
     rng = random.Random(3)
     rows = []
     for tree, deep in (("a", 1), ("b", 3), ("c", 40)):  # a chain, a deep and a bushy tree
@@ -32,8 +35,8 @@ def test_random_forests(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "id string, parent string")
     want = brute(rows)
-    assert {r.id: (r.root_id, r.depth) for r in H.found(df).collect()} == {k: v[:2] for k, v in want.items()}
-    got = {r.id: r for r in H.paths(df).collect()}
+    assert {r.id: (r.root_id, r.depth) for r in H.found(df, alone=alone).collect()} == {k: v[:2] for k, v in want.items()}
+    got = {r.id: r for r in H.paths(df, alone=alone).collect()}
     assert {k: r.path for k, r in got.items()} == {k: v[2] for k, v in want.items()}
     below = {(p[i], p[-1], len(p) - 1 - i) for _, _, p in want.values() if p for i in range(len(p) - 1)}
     for k, (_, depth, _) in want.items():

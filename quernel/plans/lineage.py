@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,11 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[0]
 
 
+#: Has Spark delete the shuffle files of a query when it ends (since 4.1; unknown to earlier versions, and harmless).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """A table that is written once reads its shuffles once: they need not stay until the driver collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, written once and read back: later plans start from the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffle_files_removed(spark):
+        df.write.parquet(path)
     _tables[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._quernel_path = path  # noqa: SLF001

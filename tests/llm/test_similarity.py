@@ -101,6 +101,48 @@ def test_similar_vectors(spark):
     assert V.found(df.where("false")).count() == 0
 
 
+def test_dense_buckets_and_many_copies_of_a_vector(spark):
+    rng = np.random.default_rng(16)
+    centre = rng.normal(size=64)
+    x = (centre + rng.normal(size=(400, 64)) * 0.2).astype(np.float32)  # all within 0.9 of each other
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[11].tolist()) for i in range(150)]
+    y = np.concatenate([x, np.repeat(x[11:12], 150, axis=0)])
+    ids = np.array([r[0] for r in rows])
+    y = y / np.linalg.norm(y, axis=1, keepdims=True)
+    sim = np.round(y.astype(np.float64) @ y.T, 6)
+    np.fill_diagonal(sim, -2)
+    want = {(int(ids[a]), int(ids[b])) for a in range(len(ids)) for b in np.lexsort((ids, -sim[a]))[:5]}
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    got = {(r.id, r.other_id) for r in V.neighbours(df, how=V.Search(dense=60, members=40)).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
+
+
+def test_pairs_of_a_class_of_many_copies(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "wv")
+    near = text.replace("w40 ", "x ")
+    rows = [(i, text) for i in range(120)] + [(500 + i, near) for i in range(30)] + [(900, other)]
+    how = N.Similarity(words=3, threshold=0.6, min_shingles=30, block=25)
+    got = [tuple(r) for r in N.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", how).collect()]
+    ids = [i for i, t in rows if t != other]
+    assert len(got) == len(set(got)) == len(ids) * (len(ids) - 1) // 2
+
+
+def test_one_bucket_of_very_many_rows(spark):
+    n = 60_000
+    rows = spark.range(n).selectExpr("7L AS key", "id AS item", "id % 20000 AS payload").unionByName(spark.range(10).selectExpr("id AS key", "id AS item", "id AS payload"))
+
+    def equal(a, b, aligned=False):
+        if aligned:
+            i = np.flatnonzero(a == b)
+            return i, i
+        order = np.argsort(b, kind="stable")
+        low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
+        i = np.repeat(np.arange(len(a)), high - low)
+        return i, order[np.repeat(low, high - low) + np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+
+    assert B.near_pairs(rows, equal).count() == 3 * 20_000
+
+
 def test_communities(spark):
     rng = np.random.default_rng(10)
     centre = rng.normal(size=(5, 64))
@@ -145,7 +187,7 @@ def test_graph_recall_over_many_cells(spark):
     np.fill_diagonal(s, -2)
     true = np.argsort(-s, axis=1)[:, : how.near]
     item = {r.item: r.id for r in df.selectExpr("xxhash64(embedding) AS item", "id").collect()}
-    met = [len({item[j] for j in C._unpacked(np.frombuffer(r.list, np.uint8)[None], how.near)[0][0]} & set(true[item[r.item]].tolist())) for r in C.graph(df, how=how).collect()]
+    met = [len({item[j] for j in C._unpacked(np.frombuffer(r.list, np.uint8)[None], how.near)[0][0]} & set(true[item[r.item]].tolist())) for r in C.graph(df, how=how)[0].collect()]
     assert len(met) == 4000 and np.mean(met) / how.near > 0.9
 
 

@@ -2,7 +2,8 @@
 
 Every position of a text has a boundary strength: paragraph, line, sentence, clause, blank, or nothing.  A sparse
 table answers "where is the strongest boundary in this window, the rightmost of equals" in constant time; each piece
-ends there, and the next one begins ``overlap`` characters before.
+ends there, and the next one begins ``overlap`` characters before.  The table covers a stretch of the text at a time,
+so its size does not grow with the text's.
 """
 
 from __future__ import annotations
@@ -64,14 +65,21 @@ def strengths(cp: np.ndarray) -> np.ndarray:
     return out
 
 
+def strengths_between(text: str, low: int, high: int) -> np.ndarray:
+    """The strengths of the positions low..high, both included, from the characters around them alone."""
+    first = max(0, low - 2)
+    part = text[first : min(len(text), high + 1)]
+    return strengths(code_points(part))[low - first : high - first + 1]
+
+
 class StrongestCut:
-    """Sparse table over ``strength``; ties go to the right."""
+    """Sparse table over ``strength`` for windows of up to ``widest`` positions; ties go to the right."""
 
-    def __init__(self, strength: np.ndarray):
+    def __init__(self, strength: np.ndarray, widest: int | None = None):
         n = len(strength)
         level = strength.astype(np.int64) * (n + 1) + np.arange(n)
         self.levels, self.n, width = [level], n, 1
-        while 2 * width <= n:
+        while 2 * width <= min(n, widest or n):
             level = np.maximum(level[:-width], level[width:])
             self.levels.append(level)
             width *= 2
@@ -84,29 +92,51 @@ class StrongestCut:
         return best % (self.n + 1), best // (self.n + 1)
 
 
+#: Pieces whose boundaries one sparse table covers.
+_STRETCH = 64
+
+
 def cuts(text: str, limits: Limits = Limits()) -> list[tuple[int, int, int]]:
     """(begin, end, strength of the end) of each piece.  A text within the limit is one piece; an empty one none."""
-    cp = code_points(text)
-    n = len(cp)
-    if n <= limits.size:
+    n, size = len(text), limits.size
+    if n <= size:
         return [(0, n, PARAGRAPH)] if n else []
-    index, out, begin = StrongestCut(strengths(cp)), [], 0
-    while n - begin > limits.size:
-        high = begin + limits.size
-        end, strength = index.query(max(begin + limits.overlap + 1, begin + int(limits.size * limits.fill)), high)
+    out, begin, base, last, index = [], 0, 0, -1, None
+    while n - begin > size:
+        high = begin + size
+        if high > last:
+            base, last = begin, min(n, begin + _STRETCH * size)
+            index = StrongestCut(strengths_between(text, base, last), size + 1)
+        end, strength = index.query(max(begin + limits.overlap + 1, begin + int(size * limits.fill)) - base, high - base)
         if strength == NONE:
-            end, strength = index.query(begin + limits.overlap + 1, high)
-        out.append((begin, end, strength))
-        begin = end - limits.overlap
+            end, strength = index.query(begin + limits.overlap + 1 - base, high - base)
+        out.append((begin, base + end, strength))
+        begin = base + end - limits.overlap
     out.append((begin, n, PARAGRAPH))
     return out
 
 
 def longest_unbroken(text: str) -> int:
     """Length of the longest run without space, tab, line feed, carriage return or form feed."""
-    cp = code_points(text)
-    at = np.flatnonzero(np.isin(cp, _BLANKS))
-    return int(np.max(np.diff(np.concatenate([[-1], at, [len(cp)]])) - 1)) if len(cp) else 0
+    longest, open_ = 0, 0  # open_: the run that reaches the end of what was read
+    for lo in range(0, len(text), 1 << 20):
+        cp = code_points(text[lo : lo + (1 << 20)])
+        at = np.flatnonzero(np.isin(cp, _BLANKS))
+        if not len(at):
+            open_ += len(cp)
+            continue
+        inner = int(np.diff(at).max() - 1) if len(at) > 1 else 0
+        longest = max(longest, open_ + int(at[0]), inner)
+        open_ = len(cp) - 1 - int(at[-1])
+    return max(longest, open_)
+
+
+def stitched(pieces_: DataFrame, id_col: str = "id", limits: Limits = Limits()) -> DataFrame:
+    """``(id_col, md5, within)``: the checksum of the text that the pieces make without their overlaps, and whether all
+    are within the limit.  Pieces of one text meet, which together are as long as it was."""
+    part = F.when(F.col("piece") == 0, F.col("text")).otherwise(F.substring("text", limits.overlap + 1, limits.size))
+    whole = pieces_.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("piece", part.alias("part")))).alias("p"), F.max("char_count").alias("n"))
+    return whole.select(id_col, F.md5(F.array_join(F.transform("p", lambda x: x["part"]), "").cast("binary")).alias("md5"), (F.col("n") <= limits.size).alias("within"))
 
 
 PIECES = "piece int, begin int, end int, text string, char_count int, strength int, longest_unbroken int"

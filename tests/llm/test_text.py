@@ -66,6 +66,17 @@ def test_repetition(spark):
     assert lines[-1] > 0.9 and failed[-1] & R.BITS["lines"]
 
 
+def whole(t, how):
+    index, out, begin = S.StrongestCut(S.strengths(S.code_points(t))), [], 0
+    while len(t) - begin > how.size:
+        end, k = index.query(max(begin + how.overlap + 1, begin + how.size // 2), begin + how.size)
+        if k == S.NONE:
+            end, k = index.query(begin + how.overlap + 1, begin + how.size)
+        out.append((begin, end, k))
+        begin = end - how.overlap
+    return [*out, (begin, len(t), S.PARAGRAPH)]
+
+
 def test_split():
     rng = random.Random(5)
     how = S.Limits(200, 20)
@@ -80,6 +91,12 @@ def test_split():
             window = s[low : a + 201]
             assert k == window.max() and b == low + int(np.flatnonzero(window == window.max())[-1])
         assert S.longest_unbroken(t) == max(map(len, t.replace("\t", " ").replace("\n", " ").split(" ")))
+    for stretch in (1, 3):  # tables over short stretches give the same cuts
+        S._STRETCH = stretch
+        try:
+            assert S.cuts(t * 4, how) == whole(t * 4, how)
+        finally:
+            S._STRETCH = 64
     assert S.cuts("") == [] and S.cuts("a" * 2000) == [(0, 2000, S.PARAGRAPH)]
     with pytest.raises(ValueError):
         S.Limits(100, 100)
@@ -92,6 +109,10 @@ def test_split_frame(spark):
     assert {r.id for r in got} == {1, 2, 5} and all(len(r.text) == r.char_count <= 2000 for r in got)
     assert {r.page_range for r in got if r.id == 1} == {"1"} and S.pieces(df.where("false")).count() == 0
     assert {r.id for r in S.pieces(df, only_long=True).collect()} == {1, 2}
+    import hashlib
+
+    assert {r.id: (r.md5, r.within) for r in S.stitched(S.pieces(df.distinct())).collect()} == {i: (hashlib.md5(t.encode()).hexdigest(), True) for i, t, _ in rows if t}
+    assert S.longest_unbroken("a" * 3_000_000 + " b") == 3_000_000 and S.longest_unbroken("a b" + "c" * 2_000_000) == 2_000_001
 
 
 def test_packing(spark):
@@ -101,6 +122,16 @@ def test_packing(spark):
     bin_of, lengths = P.pack(small)
     used = np.bincount(bin_of, weights=small)
     assert (used <= lengths).all() and used.sum() / sum(lengths) > 0.99 and set(lengths) <= {256, 512, 1024, 2048}
+    # lengths are chosen by what is still to come: 700s waste nothing in 700s, and no mix costs more than the greatest alone
+    how = P.Containers((700, 1024, 2048))
+    bin_of, lengths = P.pack(np.full(500, 700), how)
+    assert set(lengths) == {700} and len(lengths) == 500
+    for mix in (rng.choice([300, 700, 1000], 800), rng.integers(400, 760, 800), np.concatenate([np.full(300, 1025), rng.integers(1, 900, 300)])):
+        got = P.pack(mix, how)
+        alone = P._packed(mix, how, [2048])
+        assert P.total_cost(got[1], how) <= P.total_cost(alone[1], how) and (np.bincount(got[0], weights=mix) <= got[1]).all()
+    mixed = rng.choice([700, 690, 1020], 900)
+    assert P.total_cost(P.pack(mixed, how)[1], how) < 0.85 * P.total_cost(P._packed(mixed, how, [2048])[1], how)
     rows = [(i, int(n)) for i, n in enumerate(sizes[:200])] + [(900, 5000), (901, 0), (902, None), (903, 4096)]
     df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
     got = P.containers(df).collect()

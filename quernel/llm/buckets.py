@@ -1,9 +1,10 @@
 """Similar pairs out of hashed buckets, without emitting a bucket's pairs and without collecting a hot bucket.
 
 Rows ``(key, item, payload)`` are brought together by ``key``.  A test compares payloads block against block in
-numpy, and only pairs that pass it leave the task.  A bucket of more than ``block`` rows is not compared where it
-lies: its rows are sent on, and a second pass spreads them over squares of blocks, so every pair is still compared,
-by many tasks, none of which holds more than two blocks.
+numpy, and only pairs that pass it leave the task.  A bucket of more than ``block`` rows is not compared in one place:
+its rows are spread over squares of blocks, so every pair is still compared, by many tasks, none of which holds more
+than two blocks.  Keys that are many in a batch already are found before the shuffle and never meet in one task; the
+others that turn out to be too large are sent on from where they met.
 """
 
 from __future__ import annotations
@@ -75,11 +76,25 @@ def _batches(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), nothing, nothing], ["a", "b", "hot", "size"])
 
 
-def near_pairs(rows: DataFrame, test: Test, width: int = 0, block: int = 4096, batch: int = 200_000) -> DataFrame:
+def _frequent(rows: DataFrame, block: int) -> DataFrame:
+    """``(key, size)`` of the keys that are certainly above ``block``: counted where they are frequent in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+            many = n >= 16
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(n[many], pa.int64())], ["key", "n"])
+
+    return rows.select("key").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("size")).where(F.col("size") > block)
+
+
+def near_pairs(rows: DataFrame, test: Test, width: int = 0, block: int = 4096, batch: int = 200_000, dense: tuple[Callable[[DataFrame], DataFrame], Test, int] | None = None) -> DataFrame:
     """``(a, b)``, a < b: different items that share a key and whose payloads pass ``test``; each pair once.
 
     ``rows`` has ``key`` long, ``item`` long and ``payload`` (long, or binary of ``width`` bytes).  ``test`` takes two
-    arrays of payloads and returns the index pairs that pass.  An item twice under a key counts once.
+    arrays of payloads and returns the index pairs that pass.  An item twice under a key counts once.  ``dense``
+    replaces, for buckets above ``block``, the payloads (a function of the rows), the test and the width.  The result
+    is a table of its own (see ``cut``); ``rows`` is read more than once.
     """
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +156,19 @@ def near_pairs(rows: DataFrame, test: Test, width: int = 0, block: int = 4096, b
                 yield from work(key, item, load)
 
     rows = rows.select("key", "item", "payload")
-    first = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(small, "a long, b long, hot long, size long"))
+    early = cut(_frequent(rows, block))
+    some = not early.isEmpty()
+    rest = rows.join(early.select("key"), "key", "left_anti").select("key", "item", "payload") if some else rows
+    first = cut(rest.repartition("key").sortWithinPartitions("key").mapInArrow(small, "a long, b long, hot long, size long"))
     pairs = first.where("hot is null").select("a", "b")
     hot = first.where("hot is not null").groupBy(F.col("hot").alias("key")).agg(F.max("size").alias("size"))
-    if hot.isEmpty():
-        return pairs.distinct()
-    return pairs.unionByName(_hot_pairs(rows, hot, test, width, block)).distinct()
+    if some or not hot.isEmpty():
+        renew, hot_test, hot_width = dense or (lambda r: r, test, width)
+        hot = hot.unionByName(early) if some else hot
+        pairs = pairs.unionByName(_hot_pairs(renew(rows.join(hot, "key")), hot_test, hot_width, block))
+    out = cut(pairs.distinct())
+    release(first, early)
+    return out
 
 
 def _pairs_of_two(item, load, at, test: Test) -> tuple[np.ndarray, np.ndarray]:
@@ -161,13 +183,12 @@ def _pairs_of_two(item, load, at, test: Test) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(a, b)[keep], np.maximum(a, b)[keep]
 
 
-def _hot_pairs(rows: DataFrame, hot: DataFrame, test: Test, width: int, block: int) -> DataFrame:
-    """The pairs of buckets with more than ``block`` rows: each bucket is dealt into blocks by hash, and each square
-    of two blocks is one group of its own."""
-    blocks = F.ceil(F.col("size") / F.lit(block // 2)).cast("int")
+def _hot_pairs(rows: DataFrame, test: Test, width: int, block: int) -> DataFrame:
+    """The pairs of buckets with more than ``block`` rows, given with their ``size``: each bucket is dealt into blocks
+    by hash, and each square of two blocks is one group of its own."""
+    blocks = F.ceil(F.col("size") / F.lit(max(1, block // 2))).cast("int")
     dealt = (
-        rows.join(hot, "key")
-        .select("key", "item", "payload", blocks.alias("blocks"), F.pmod(F.xxhash64("item"), blocks).cast("int").alias("own"))
+        rows.select("key", "item", "payload", blocks.alias("blocks"), F.pmod(F.xxhash64("item"), blocks).cast("int").alias("own"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("square"), (F.col("own") <= F.col("other")).alias("low"), (F.col("own") == F.col("other")).alias("same"), "item", "payload")
     )

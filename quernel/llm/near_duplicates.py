@@ -34,7 +34,8 @@ from quernel.plans.lineage import cut, release
 class Similarity:
     """Records with at least ``min_shingles`` different sequences of ``words`` words are compared; pairs that share
     ``threshold`` of them count.  With 40 bands of 4 coordinates a pair at 0.6 is met with probability 0.996, at 0.8
-    with 1 - 1e-9; ``agreeing`` of 64 one-bit coordinates is 3.4 standard deviations below what 0.6 expects."""
+    with 1 - 1e-9; ``agreeing`` of 64 one-bit coordinates is 3.4 standard deviations below what 0.6 expects.  Where
+    pairs of members are asked for, ``block`` members of a class meet as many of another at a time."""
 
     words: int = 5
     threshold: float = 0.8
@@ -42,6 +43,7 @@ class Similarity:
     bands: int = 40
     rows: int = 4
     agreeing: int = 40
+    block: int = 2048
 
 
 def shingle_sets(texts: list[str | None], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +162,7 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, how: Similarity = Sim
     seen = cut(sketched(df, id_col, text_col, how))
     members = seen.select("id", "class").distinct()
     rows = seen.where("bands is not null").select(F.explode("bands").alias("key"), F.col("class").alias("item"), F.col("bits").alias("payload"))
-    candidates = cut(near_pairs(rows, _agree(how.agreeing)))
+    candidates = near_pairs(rows, _agree(how.agreeing))
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     lead = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("_lead")).select("_lead")
     texts = df.select(id_col, text_col).join(lead, F.col(id_col) == F.col("_lead"), "left_semi")
@@ -186,6 +188,8 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, how: Similarity = Sim
         .select("a", "b", "x", "y")
         .mapInArrow(verify, "a long, b long, similarity double")
     )
+    pairs = cut(pairs)
+    release(candidates, sets)
     return members, pairs
 
 
@@ -194,14 +198,24 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, how: Similarity =
     of classes are expanded to their members by joins; see ``class_pairs`` for the cases."""
     members, pairs = class_pairs(df, id_col, text_col, how)
     members = cut(members)
-    a, b = (members.select(F.col("class").alias(c), F.col("id").alias(f"id_{c}")) for c in ("a", "b"))
-    linked = cut(pairs.select("a", "b"))
-    across = linked.join(a, "a").join(b, "b").select("id_a", "id_b")
-    several = members.groupBy("class").count().where("count > 1").select("class")
-    shared = members.join(several, "class", "left_semi")
-    within = shared.select("class", F.col("id").alias("id_a")).join(shared.select("class", F.col("id").alias("id_b")), "class").where("id_a < id_b").select("id_a", "id_b")
+    linked = pairs.select("a", "b")
+    sizes = cut(members.groupBy("class").count().where("count > 1"))
+    within = sizes.select(F.col("class").alias("a"), F.col("class").alias("b"))
+    out = _expanded(linked.unionByName(within), members, sizes, how.block)
     low, high = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
-    return across.unionByName(within).where("id_a <> id_b").select(low.alias("id_a"), high.alias("id_b")).distinct()
+    return out.where("id_a <> id_b").select(low.alias("id_a"), high.alias("id_b")).distinct()
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """``(id_a, id_b)`` of every member of a with every member of b.  A class of more than ``block`` members is dealt
+    into blocks, and every two blocks meet by themselves, so no task has more than their square."""
+    blocks = sizes.select("class", F.ceil(F.col("count") / block).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = members.join(blocks, "class", "left").select("class", "id", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(f"n_{c}", F.lit(1)) - 1))
+    a, b = (blocks.select(F.col("class").alias(c), F.col("blocks").alias(f"n_{c}")) for c in ("a", "b"))
+    squares = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("block_a", each("a")).withColumn("block_b", each("b")).where("a <> b OR block_a <= block_b")
+    left, right = (dealt.select(F.col("class").alias(c), F.col("block").alias(f"block_{c}"), F.col("id").alias(f"id_{c}")) for c in ("a", "b"))
+    return squares.join(left, ["a", "block_a"]).join(right, ["b", "block_b"]).select("id_a", "id_b")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -225,7 +239,7 @@ def groups(df: DataFrame, id_col: str, text_col: str, how: Similarity = Similari
     """``(id, group_id, group_size, links)`` of each record that is alone in no group: the least id of its group, the
     group's size, and the other classes it is similar to.  Copies are not expanded into pairs."""
     members, pairs = class_pairs(df, id_col, text_col, how)
-    members, linked = cut(members), cut(pairs.select("a", "b"))
+    members, linked = cut(members), pairs.select("a", "b")
     root = components(linked)
     links = linked.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     placed = members.join(root.withColumnRenamed("node", "class"), "class", "left").join(links, "class", "left").select("id", F.coalesce("root", "class").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))

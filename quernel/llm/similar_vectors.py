@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.buckets import near_pairs, payloads
+from quernel.llm.buckets import binary, near_pairs, payloads
 from quernel.llm.text import mix
 from quernel.llm.vectors import matrix, padded, rotate, usable
-from quernel.plans.lineage import cut
+from quernel.plans.lineage import cut, release
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,9 @@ class Search:
     deviation of 3 (rotations are orthogonal, so less than by chance): up to ``differing`` keeps all but a few of ten
     thousand.  On this project's vectors seven tables with two probes meet 99.9 % of the pairs at 0.90 or more.
     More digits are met more rarely: ``enough`` then adds tables and probes, so that of random pairs at ``cosine`` at
-    least ``recall`` meet whatever the size of the collection.  ``bucket`` is the mean size a bucket is to have."""
+    least ``recall`` meet whatever the size of the collection.  ``bucket`` is the mean size a bucket is to have; in one
+    above ``dense`` rows the vectors themselves are compared and only the nearest of each leave the task.  A class of
+    copies meets its list in parts of ``members``."""
 
     dim: int = 64
     cosine: float = 0.90
@@ -39,6 +41,8 @@ class Search:
     probes: int = 2
     differing: int = 28
     bucket: int = 32
+    dense: int = 2048
+    members: int = 100_000
     recall: float = 0.99
 
 
@@ -120,10 +124,50 @@ def _few_differ(most: int):
     return test
 
 
+def _nearest_within(k: int, cosine: float, dim: int):
+    """A test of unit vectors (bytes of ``dim`` floats each): the pairs from ``cosine`` of which one is among the ``k``
+    nearest of the other there, ties included.  What a dense bucket sends on grows with its rows, not their pairs."""
+
+    def test(a: np.ndarray, b: np.ndarray, aligned: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        x, y = (np.ascontiguousarray(v).view(np.float32) for v in (a, b))
+        if aligned:
+            i = np.flatnonzero(np.einsum("ij,ij->i", x, y) >= cosine - 1e-5)
+            return i, i
+        found, least = [], np.full((len(y), k), -2, np.float32)
+        for lo in range(0, len(x), 1024):
+            s = x[lo : lo + 1024] @ y.T
+            if a is b:
+                s[np.arange(len(s)), lo + np.arange(len(s))] = -2
+            bar = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2, np.float32)
+            i, j = np.nonzero((s >= bar[:, None]) & (s >= cosine - 1e-5))
+            found.append((i + lo, j))
+            least = np.partition(np.concatenate([least, s.T], axis=1), -k, axis=1)[:, -k:]
+        bar = least.min(axis=1)
+        for lo in range(0, len(x), 1024):
+            s = x[lo : lo + 1024] @ y.T
+            if a is b:
+                s[np.arange(len(s)), lo + np.arange(len(s))] = -2
+            i, j = np.nonzero((s >= bar[None, :]) & (s >= cosine - 1e-5))
+            found.append((i + lo, j))
+        i, j = (np.concatenate(z) for z in zip(*found))
+        return (np.concatenate([i, j]), np.concatenate([j, i])) if a is b else (i, j)
+
+    return test
+
+
 def _class(v: str) -> Column:
     return F.xxhash64(v)
 
 
+def _as_bytes(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), binary(matrix(batch.column(1), dim))], ["item", "vector"])
+
+    return run
+
+
 def hashed(df: DataFrame, vec_col: str, how: Search, digits: int) -> DataFrame:
     """``(key, item, payload)`` rows of the usable vectors; a class is sent once for each batch it is in."""
 
@@ -142,14 +186,23 @@ def hashed(df: DataFrame, vec_col: str, how: Search, digits: int) -> DataFrame:
     return df.where(usable(vec_col, how.dim)).select(_class(vec_col).alias("item"), vec_col).mapInArrow(run, "key long, item long, payload binary")
 
 
-def similar_classes(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", how: Search = Search()) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", how: Search = Search(), k: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables: members ``(id, class)`` of the usable vectors, and ``(a, b, cosine)``, a < b, of the classes with
-    at least ``cosine``.  Rows repeated under one id count once."""
+    at least ``cosine``; with ``k``, of buckets above ``how.dense`` rows those of which one is among the ``k`` nearest
+    of the other.  Rows repeated under one id count once."""
     good = df.where(usable(vec_col, how.dim))
     members = cut(good.select(F.col(id_col).alias("id"), _class(vec_col).alias("class")).distinct())
     n = df.count()
     digits = max(1, math.ceil(math.log(max(1, n / how.bucket)) / math.log(2 * 2 ** math.ceil(math.log2(how.dim)))))
-    candidates = cut(near_pairs(hashed(df, vec_col, enough(how, digits), digits), _few_differ(how.differing), width=16))
+
+    def vectors_of(rows: DataFrame) -> DataFrame:
+        """Rows of dense buckets with their vectors in place of signs."""
+        item = rows.select("item").distinct()
+        own = good.select(_class(vec_col).alias("item"), F.col(vec_col).alias("v")).join(item, "item", "left_semi").dropDuplicates(["item"]).mapInArrow(_as_bytes(how.dim), "item long, vector binary")
+        return rows.join(own, "item").withColumn("payload", F.col("vector"))
+
+    dense = (vectors_of, _nearest_within(k, how.cosine, how.dim), 4 * how.dim) if k else None
+    candidates = near_pairs(hashed(df, vec_col, enough(how, digits), digits), _few_differ(how.differing), 16, how.dense if k else 4096, dense=dense)
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     lead = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("_lead")).select("_lead")
     vectors = cut(good.join(lead, F.col(id_col) == F.col("_lead"), "left_semi").select(_class(vec_col).alias("class"), F.col(vec_col).alias("v")).dropDuplicates(["class"]))
@@ -167,27 +220,36 @@ def similar_classes(df: DataFrame, id_col: str = "id", vec_col: str = "embedding
         .select("a", "b", "x", "y")
         .mapInArrow(verify, "a long, b long, cosine double")
     )
-    return members, cut(pairs)
+    pairs = cut(pairs)
+    release(candidates, vectors)
+    return members, pairs
 
 
 def neighbours(df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embedding", how: Search = Search()) -> DataFrame:
     """``(id, other_id, cosine, rank)``: of each usable vector the ``k`` most similar others among those with at
-    least ``how.cosine``; ties go to the lesser id.
+    least ``how.cosine``; ties, to six places, go to the lesser id.
 
     A vector is usable if it has ``how.dim`` finite values, not all zero; others, and nulls, give no row.  Copies
     under different ids are neighbours at cosine 1.  Further columns are ignored; an empty table gives no rows.
     """
-    members, pairs = similar_classes(df, id_col, vec_col, how)
+    members, pairs = similar_classes(df, id_col, vec_col, how, k + 1)
+    pairs = pairs.withColumn("cosine", F.round("cosine", 6))
     # A class needs only the k + 1 least ids of every class near it, itself included.
     firsts = cut(members.withColumn("_n", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("_n") <= k + 1).drop("_n"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     own = firsts.groupBy("class").count().where("count > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("cosine"))
     near = both.unionByName(own).join(firsts.select(F.col("class").alias("b"), F.col("id").alias("other_id")), "b")
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "other_id")
-    lists = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).select(F.col("a").alias("class"), "other_id", "cosine")
-    mine = members.join(lists, "class").where("id <> other_id")
+    lists = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).groupBy(F.col("a").alias("class")).agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other_id"))).alias("near"))
+    # One list a class, of at most k + 1, meets its members; a class of very many is dealt into parts.
+    parts = members.groupBy("class").agg(F.ceil(F.count("*") / how.members).cast("int").alias("parts")).where("parts > 1")
+    dealt = members.join(parts, "class", "left").select("class", "id", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    copied = lists.join(parts, "class", "left").select("class", "near", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).cast("long").alias("part"))
+    mine = dealt.join(copied, ["class", "part"]).select("id", F.slice(F.filter("near", lambda n: n["other_id"] != F.col("id")), 1, k).alias("near"))
+    # an id with several vectors has a list for each
     rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other_id")
-    return mine.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("id", "other_id", "cosine", "rank")
+    laid = mine.select("id", F.explode("near").alias("n")).groupBy("id", F.col("n.other_id").alias("other_id")).agg((-F.min("n.c")).alias("cosine"))
+    return laid.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("id", "other_id", "cosine", "rank")
 
 
 def found(df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embedding", how: Search = Search()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions import vectors as V
-from quernel.operators import graph, hierarchy, ingest, search, tuning
+from quernel.operators import graph, hierarchy, index, ingest, search, tuning
 from quernel.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,14 @@ def _emb(s, d):
     return table(s, d, "embeddings")
 
 
+#: The same vectors at seven lengths, by which the metrics rank differently.
+_SCALED = "SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 7)) AS v FROM embeddings"
+
+
+def _scaled(s, d):
+    return _emb(s, d).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 7)).alias("embedding"))
+
+
 def _asked(s, d):
     return _emb(s, d).where(F.col("vec_id") % 50 == 0)
 
@@ -87,13 +95,13 @@ def vector_norms(s, d):
     return _emb(s, d).select("vec_id", F.round(V.squared_norm("embedding"), 6).alias("squared"), F.round(V.norm("embedding"), 6).alias("norm"), F.round(V.total("embedding"), 6).alias("total"))
 
 
-@query("vector_arithmetic", f"SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] + x[2]) * 0.5)), 6) AS half_sum, round(list_distance(a.v, b.v) ^ 2, 6) AS squared, round(list_distance(a.v, b.v), 6) AS distance, round(list_inner_product(a.v, b.v), 6) AS dot, round(-list_inner_product(a.v, b.v), 6) AS negative_dot, round(1 - list_cosine_similarity(a.v, b.v), 6) AS cosine_distance FROM ({_E}) a JOIN ({_E}) b ON b.vec_id = a.vec_id + 1")
+@query("vector_arithmetic", f"SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] + x[2]) * 0.5)), 6) AS half_sum, round(list_distance(a.v, b.v) ^ 2, 6) AS squared, round(list_distance(a.v, b.v), 6) AS distance, round(list_inner_product(a.v, b.v), 6) AS dot, round(-list_inner_product(a.v, b.v), 6) AS negative_dot, round(1 - list_cosine_similarity(a.v, b.v), 6) AS cosine_distance, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)) + 1e-10), 6) + 0.0 AS smoothed FROM ({_E}) a JOIN ({_E}) b ON b.vec_id = a.vec_id + 1")
 def vector_arithmetic(s, d):
     a = _emb(s, d).select("vec_id", F.col("embedding").alias("v"))
     b = _emb(s, d).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("w"))
     return a.join(b, "vec_id").select(
         "vec_id", F.round(V.total(V.scale(V.add("v", "w"), 0.5)), 6).alias("half_sum"), F.round(V.squared_distance("v", "w"), 6).alias("squared"), F.round(V.distance("v", "w"), 6).alias("distance"),
-        F.round(V.dot("v", "w"), 6).alias("dot"), F.round(-V.dot("v", "w"), 6).alias("negative_dot"), F.round(1 - V.cosine("v", "w"), 6).alias("cosine_distance"),
+        F.round(V.dot("v", "w"), 6).alias("dot"), F.round(-V.dot("v", "w"), 6).alias("negative_dot"), F.round(1 - V.cosine("v", "w"), 6).alias("cosine_distance"), (F.round(V.smoothed_cosine("v", "w"), 6) + F.lit(0.0)).alias("smoothed"),
     )
 
 
@@ -102,6 +110,12 @@ def normalized_vectors(s, d):
     return _emb(s, d).select("vec_id", F.transform(V.normalized("embedding"), lambda x: F.round(x, 6)).alias("unit"))
 
 
+@query("norm_and_unit", f"SELECT vec_id, round(sqrt(list_inner_product(v, v)), 6) AS norm, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS unit FROM ({_SCALED})")
+def norm_and_unit(s, d):
+    out = _scaled(s, d).select("vec_id", V.norm_and_unit("embedding").alias("n"))
+    return out.select("vec_id", F.round("n.norm", 6).alias("norm"), F.transform("n.unit", lambda x: F.round(x, 6)).alias("unit"))
+
+
 @query("zero_vector_rule", f"SELECT vec_id, 0.0::DOUBLE AS cosine, 0.0::DOUBLE AS smoothed FROM ({_E})")
 def zero_vector_rule(s, d):
     return _emb(s, d).withColumn("z", V.zeros(DIM)).select("vec_id", V.cosine("embedding", "z").alias("cosine"), F.abs(V.smoothed_cosine("embedding", "z")).alias("smoothed"))
@@ -125,7 +139,7 @@ def store_upsert(s, d):
 @query("store_newest", "SELECT id, count(*)::BIGINT AS versions, max(created_at) AS newest FROM vectors GROUP BY id")
 def store_newest(s, d):
     v = table(s, d, "vectors").select("id", "created_at")
-    n = store.newest(v.withColumn("seq", F.struct(F.col("created_at").isNotNull(), "created_at")), "id")
+    n = store.newest(v, "id", "created_at")
     return n.join(v.groupBy("id").agg(F.count("*").alias("versions")), "id").select("id", "versions", F.col("created_at").alias("newest"))
 
 
@@ -137,23 +151,28 @@ def store_delete(s, d):
 
 @query("store_contains", "SELECT w.vec_id, w.vec_id IN (SELECT vec_id FROM embeddings) AS there FROM (SELECT vec_id * 7 AS vec_id FROM embeddings) w")
 def store_contains(s, d):
-    e = _emb(s, d).select("vec_id")
-    wanted = e.select((F.col("vec_id") * 7).alias("vec_id"))
-    return wanted.join(e.withColumn("hit", F.lit(True)), "vec_id", "left").select("vec_id", F.coalesce("hit", F.lit(False)).alias("there"))
+    return store.contained(_emb(s, d), _emb(s, d).select((F.col("vec_id") * 7).alias("vec_id")))
 
 
 @query("store_recover", "SELECT coalesce(len(embedding) = 64, false) AS usable, count(*)::BIGINT AS n FROM vectors GROUP BY 1")
 def store_recover(s, d):
-    good, bad = search.reject_wrong(table(s, d, "vectors"), DIM)
+    good, bad = store.recovered(table(s, d, "vectors"), DIM)
     return good.select(F.lit(True).alias("usable")).unionByName(bad.select(F.lit(False).alias("usable"))).groupBy("usable").agg(F.count("*").alias("n"))
 
 
+@query("store_metadata", "SELECT id, CASE WHEN id % 3 = 0 THEN 'new ' || filename ELSE filename END AS filename FROM (SELECT id, any_value(filename) AS filename FROM doc_store GROUP BY id)")
+def store_metadata(s, d):
+    m = table(s, d, "doc_store").select("id", "filename").dropDuplicates(["id"])
+    new = m.where("id % 3 = 0").withColumn("filename", F.concat(F.lit("new "), "filename"))
+    return store.write_metadata(m, new.unionByName(new))
+
+
 # ---- search --------------------------------------------------------------------------------------------------------
 
 
-def _knn_sql(dist: str, score: str, where: str = "true", k: int = 10) -> str:
+def _knn_sql(dist: str, score: str, where: str = "true", k: int = 10, vectors: str = _E) -> str:
     return f"""
-WITH e AS ({_E}), p AS (SELECT q.vec_id AS query_id, e.vec_id, {dist} AS dist FROM e q, e WHERE q.vec_id % 50 = 0 AND {where}),
+WITH e AS ({vectors}), p AS (SELECT q.vec_id AS query_id, e.vec_id, {dist} AS dist FROM e q, e WHERE q.vec_id % 50 = 0 AND {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS rank FROM p)
 SELECT query_id, rank::INT AS rank, vec_id, round({score}, 6) + 0.0 AS score FROM r WHERE rank <= {k}"""
 
@@ -180,6 +199,10 @@ def knn_dot(s, d):
     return _rounded(search.knn(_asked(s, d), _emb(s, d), 10, search.DOT, DIM))
 
 
+for _n, _d, _s in ((search.COSINE, _COS, "1 - dist"), (search.EUCLIDEAN, "list_distance(q.v, e.v)", "dist"), (search.DOT, "-list_inner_product(q.v, e.v)", "dist")):
+    query(f"knn_scaled_{_n}", _knn_sql(_d, _s, vectors=_SCALED))(lambda s, d, m=_n: _rounded(search.knn(_scaled(s, d).where("vec_id % 50 = 0"), _scaled(s, d), 10, m, DIM)))
+
+
 @query("knn_filtered_by_label", _knn_sql(_COS, "1 - dist", "e.label = 2"))
 def knn_filtered_by_label(s, d):
     return _rounded(search.knn(_asked(s, d), _emb(s, d).where("label = 2"), 10, search.COSINE, DIM))
@@ -194,8 +217,19 @@ def knn_label_vote(s, d):
 
 @query("batch_dot", f"SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(q.v, e.v), 6) + 0.0 AS dot FROM ({_E}) q, ({_E}) e WHERE q.vec_id % 50 = 0")
 def batch_dot(s, d):
-    out = search.knn(_asked(s, d), _emb(s, d), 1 << 30, search.DOT, DIM)
-    return out.select("query_id", "vec_id", (F.round(-F.col("score"), 6) + F.lit(0.0)).alias("dot"))
+    out = search.scores(_asked(s, d), _emb(s, d), search.DOT, DIM)
+    return out.select("query_id", "vec_id", (F.round(-F.col("dist"), 6) + F.lit(0.0)).alias("dot"))
+
+
+@query("batch_distances", f"SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.v, e.v), lambda x: abs(x[1] - x[2]))), 6) AS dist FROM ({_E}) q, ({_E}) e WHERE q.vec_id % 50 = 0")
+def batch_distances(s, d):
+    import numpy as np
+
+    def city_block(q, x):
+        return np.abs(q[:, None, :] - x[None, :, :]).sum(axis=2)
+
+    out = search.scores(_asked(s, d), _emb(s, d), city_block, DIM)
+    return out.select("query_id", "vec_id", F.round("dist", 6).alias("dist"))
 
 
 # ---- k-means, inverted lists, product quantization -------------------------------------------------------------------
@@ -231,25 +265,94 @@ def kmeans_assign(s, d):
     return search.assigned(_emb(s, d), _trained(s, d)).select("vec_id", "part")
 
 
-def _ivf_sql(nprobe: int) -> str:
-    return f"""{_KM}, q AS (SELECT vec_id AS query_id, v AS qv FROM x WHERE vec_id % 50 = 0),
+#: Indexes that were built in this session: what a search reads, however often it is asked.
+_BUILT: dict[tuple, object] = {}
+
+
+def _built(s, d, name: str, make):
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
+def _ivf(s, d) -> index.IvfIndex:
+    return _built(s, d, "ivf", lambda: index.ivf_of(_emb(s, d), index.IvfConfig(DIM, 8, 6, 3)))
+
+
+def _hnsw(s, d) -> index.HnswIndex:
+    return _built(s, d, "hnsw", lambda: index.hnsw_of(_emb(s, d), search.IndexConfig(DIM, m=8, ef_construction=60, ef_search=60)))
+
+
+def _pq(s, d) -> index.PqIndex:
+    def make():
+        out = index.PqIndex(s, index.PqConfig(DIM, _M, _K, 2))
+        out.insert(_emb(s, d))
+        out.train()
+        return out
+
+    return _built(s, d, "pq", make)
+
+
+def _ivf_sql(nprobe: int, km: str = _KM, final: str = "a3") -> str:
+    return f"""{km}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
 pr AS (SELECT query_id, qv, k FROM (SELECT query_id, qv, k, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - list_cosine_similarity(qv, c), 12), k) AS n FROM q, c3) WHERE n <= {nprobe}),
-f AS (SELECT query_id, vec_id, 1 - list_cosine_similarity(qv, v) AS dist FROM pr JOIN a3 USING (k)),
+f AS (SELECT query_id, vec_id, 1 - list_cosine_similarity(qv, v) AS dist FROM pr JOIN {final} USING (k)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS rank FROM f)"""
 
 
-def _ivf(s, d, nprobe):
-    c = _trained(s, d)
-    return search.ivf_search(_asked(s, d), search.assigned(_emb(s, d), c), c, 10, nprobe)
+_IVF_ROWS = "SELECT query_id, rank::INT AS rank, vec_id, round(1 - dist, 6) + 0.0 AS score FROM r WHERE rank <= 10"
+
+
+@query("ivf_search", f"WITH {_ivf_sql(6)} {_IVF_ROWS}")
+def ivf_search(s, d):
+    return _rounded(_ivf(s, d).search(_asked(s, d), 10))
+
+
+@query("ivf_full_probe", f"WITH {_ivf_sql(8)} {_IVF_ROWS}")
+def ivf_full_probe(s, d):
+    ivf = _ivf(s, d)
+    return _rounded(search.ivf_search(_asked(s, d), ivf._postings.live(), ivf.centroids, 10, 8))  # noqa: SLF001
+
 
+@query("ivf_untrained", _knn_sql(_COS, "1 - dist"))
+def ivf_untrained(s, d):
+    ivf = index.IvfIndex(s, index.IvfConfig(DIM, 8, 6, 3))
+    ivf.insert(_emb(s, d))
+    return _rounded(ivf.search(_asked(s, d), 10))
 
-for _n, _p in (("ivf_search", 2), ("ivf_full_probe", 8)):
-    query(_n, f"WITH {_ivf_sql(_p)} SELECT query_id, rank::INT AS rank, vec_id, round(1 - dist, 6) + 0.0 AS score FROM r WHERE rank <= 10")(lambda s, d, p=_p: _rounded(_ivf(s, d, p)))
 
+_KM_PART = _kmeans_sql(8, 3, "1 - list_cosine_similarity(v, c)", "x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 4 <> 1)")
+_LATER = "aa AS (SELECT vec_id, v, k FROM (SELECT vec_id, v, k, row_number() OVER (PARTITION BY vec_id ORDER BY round(1 - list_cosine_similarity(v, c), 12), k) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings{}), c3) WHERE n = 1)"
 
-@query("recall_at_10_ivf", f"WITH {_ivf_sql(2)}, t AS ({_knn_sql(_COS, '1 - dist')}) SELECT t.query_id, count(r.vec_id) / count(*) AS recall FROM t LEFT JOIN (FROM r WHERE rank <= 10) r ON r.query_id = t.query_id AND r.vec_id = t.vec_id GROUP BY t.query_id")
+
+def _grown(s, d) -> index.IvfIndex:
+    """Trained on three quarters; the rest comes later, and some of the first once more."""
+    ivf = index.ivf_of(_emb(s, d).where("vec_id % 4 <> 1"), index.IvfConfig(DIM, 8, 6, 3))
+    ivf.insert(_emb(s, d).where("vec_id % 4 = 1 OR vec_id % 10 = 0"))
+    return ivf
+
+
+@query("ivf_insert", f"WITH {_ivf_sql(6, _KM_PART + ', ' + _LATER.format(''), 'aa')} {_IVF_ROWS}")
+def ivf_insert(s, d):
+    return _rounded(_grown(s, d).search(_asked(s, d), 10))
+
+
+@query("ivf_remove", f"WITH {_ivf_sql(6, _KM_PART + ', ' + _LATER.format(' WHERE vec_id % 3 <> 2'), 'aa')} {_IVF_ROWS}")
+def ivf_remove(s, d):
+    ivf = _grown(s, d)
+    ivf.remove(_emb(s, d).where("vec_id % 3 = 2"))
+    return _rounded(ivf.search(_asked(s, d), 10))
+
+
+@query("recall_at_10_ivf", f"WITH {_ivf_sql(6)}, t AS ({_knn_sql(_COS, '1 - dist')}) SELECT t.query_id, count(r.vec_id) / count(*) AS recall FROM t LEFT JOIN (FROM r WHERE rank <= 10) r ON r.query_id = t.query_id AND r.vec_id = t.vec_id GROUP BY t.query_id")
 def recall_at_10_ivf(s, d):
-    return search.recall(_ivf(s, d, 2), search.knn(_asked(s, d), _emb(s, d), 10, search.COSINE, DIM))
+    return search.recall(_ivf(s, d).search(_asked(s, d), 10), search.knn(_asked(s, d), _emb(s, d), 10, search.COSINE, DIM), 10)
+
+
+@query("recall_of_10_ivf", f"WITH {_ivf_sql(6)}, t AS ({_knn_sql(_COS, '1 - dist', k=5)}) SELECT t.query_id, count(r.vec_id) / 10.0::DOUBLE AS recall FROM t LEFT JOIN (FROM r WHERE rank <= 10) r ON r.query_id = t.query_id AND r.vec_id = t.vec_id GROUP BY t.query_id")
+def recall_of_10_ivf(s, d):
+    return search.recall_of_k(_ivf(s, d).search(_asked(s, d), 10), search.knn(_asked(s, d), _emb(s, d), 5, search.COSINE, DIM), 10)
 
 
 _M, _K = 4, 8
@@ -264,29 +367,41 @@ def pq_codes(s, d):
 _ADC = " + ".join(f"list_distance(list_slice(qv, {i * 16 + 1}, {i * 16 + 16}), s{i}c2.c) ^ 2" for i in range(_M))
 
 
-@query("pq_search", f"""WITH {_PQ}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
-f AS (SELECT query_id, s0a2.vec_id, {_ADC} AS dist FROM q, s0a2 {" ".join(f"JOIN s{i}a2 ON s{i}a2.vec_id = s0a2.vec_id" for i in range(1, _M))} {" ".join(f"JOIN s{i}c2 ON s{i}c2.k = s{i}a2.k" for i in range(_M))}),
+def _pq_sql(where: str) -> str:
+    return f"""WITH {_PQ}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
+f AS (SELECT query_id, s0a2.vec_id, {_ADC} AS dist FROM q, s0a2 {" ".join(f"JOIN s{i}a2 ON s{i}a2.vec_id = s0a2.vec_id" for i in range(1, _M))} {" ".join(f"JOIN s{i}c2 ON s{i}c2.k = s{i}a2.k" for i in range(_M))} WHERE {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 9), vec_id) AS rank FROM f)
-SELECT query_id, rank::INT AS rank, vec_id, round(dist, 6) + 0.0 AS score FROM r WHERE rank <= 10""")
+SELECT query_id, rank::INT AS rank, vec_id, round(dist, 6) + 0.0 AS score FROM r WHERE rank <= 10"""
+
+
+@query("pq_search", _pq_sql("true"))
 def pq_search(s, d):
-    books = search.pq_train(_emb(s, d), _M, _K, 2)
-    return _rounded(search.pq_search(_asked(s, d), search.pq_encode(_emb(s, d), books), books, 10))
+    return _rounded(_pq(s, d).search(_asked(s, d), 10))
+
+
+@query("pq_remove", _pq_sql("s0a2.vec_id % 3 <> 2"))
+def pq_remove(s, d):
+    pq = index.PqIndex(s, index.PqConfig(DIM, _M, _K, 2))
+    pq.insert(_emb(s, d))
+    pq.train()
+    pq.remove(_emb(s, d).where("vec_id % 3 = 2"))
+    return _rounded(pq.search(_asked(s, d), 10))
 
 
 @query("pq_compression", "SELECT m::INT AS m, 64 * 4.0::DOUBLE / m AS ratio FROM (VALUES (4), (8), (16)) t(m)")
 def pq_compression(s, d):
-    return s.createDataFrame([(4,), (8,), (16,)], "m int").select("m", (F.lit(DIM * 4.0) / F.col("m")).alias("ratio"))
+    return s.createDataFrame([(4,), (8,), (16,)], "m int").select("m", search.compression_ratio(DIM, F.col("m")).alias("ratio"))
 
 
 @query("hnsw_search")
 def hnsw_search(s, d):
-    return _rounded(search.hnsw_search(_asked(s, d), _emb(s, d), 10, search.IndexConfig(DIM, m=8, ef_construction=60, ef_search=60)))
+    return _rounded(_hnsw(s, d).search(_asked(s, d), 10))
 
 
-@query("hnsw_recall")
+@query("hnsw_recall", "SELECT 1 AS at_least_nine_tenths")
 def hnsw_recall(s, d):
-    found = search.hnsw_search(_asked(s, d), _emb(s, d), 10, search.IndexConfig(DIM, m=8, ef_construction=60, ef_search=60))
-    return search.recall(found, search.knn(_asked(s, d), _emb(s, d), 10, search.COSINE, DIM)).agg(F.avg("recall").alias("recall"))
+    r = search.recall(_hnsw(s, d).search(_asked(s, d), 10), search.knn(_asked(s, d), _emb(s, d), 10, search.COSINE, DIM), 10)
+    return r.agg((F.avg("recall") >= 0.9).cast("int").alias("at_least_nine_tenths"))
 
 
 @query("label_means", f"SELECT label, pos::INT AS pos, round(avg(x), 6) + 0.0 AS mean FROM (SELECT label, unnest(v) AS x, unnest(range(64)) AS pos FROM ({_E})) GROUP BY ALL")
@@ -299,9 +414,9 @@ def reproducible_sample(s, d):
     return _emb(s, d).orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(100).select("vec_id")
 
 
-@query("health", "SELECT count(*)::BIGINT AS vectors, min(len(embedding))::INT AS dim, count(DISTINCT label)::BIGINT AS labels FROM embeddings")
+@query("health", "SELECT count(*)::BIGINT AS vectors, min(len(embedding))::INT AS dim FROM embeddings")
 def health(s, d):
-    return _emb(s, d).agg(F.count("*").alias("vectors"), F.min(F.size("embedding")).alias("dim"), F.count_distinct("label").alias("labels"))
+    return store.summary(_emb(s, d))
 
 
 # ---- tuning --------------------------------------------------------------------------------------------------------
@@ -413,6 +528,33 @@ def insert_fitness(s, d):
     return s.createDataFrame(_INSERTS, "seq long, throughput double, overhead double, cpu double, scaling double").select("seq", F.round(tuning.insert_fitness(), 6).alias("fitness"), *tuning.insert_behaviour())
 
 
+@query("insert_measures", "SELECT seq::INT AS seq, overhead, round(cpu, 6) AS cpu, scaling FROM (VALUES (0, 0.0::DOUBLE, 0.34::DOUBLE, 0.5::DOUBLE), (1, 400.0, 0.9, 1.0), (2, 4000.0, 0.82, 1.0), (3, 256.0, 0.27, 0.25), (4, 16.0, 0.9, 1.0), (5, 800.0, 0.76, 0.75)) t(seq, overhead, cpu, scaling)")
+def insert_measures(s, d):
+    rows = [(0, "sequential", 1, False, 0, 1e5, 1e5), (1, "batch", 100, False, 4, 6e5, 1e5), (2, "parallel", 500, True, 8, 8e5, 1e5), (3, "chunked", 64, False, 4, 5e4, 1e5), (4, "unrolled", 100, False, 0, 5e5, 1e5), (5, "interleaved", 200, False, 2, 4e5, 4e5 / 1.5)]
+    t = s.createDataFrame(rows, "seq int, strategy string, batch int, parallel boolean, prefetch int, throughput double, base double")
+    return tuning.insert_measures(t).select("seq", "overhead", F.round("cpu", 6).alias("cpu"), F.round("scaling", 6).alias("scaling"))
+
+
+@query("evolve_inserts")
+def evolve_inserts(s, d):
+    return tuning.evolve_inserts(_emb(s, d), tuning.TUNINGS["fast"])
+
+
+@query("behaviour_2d", f"SELECT seq, l_bin, m_bin FROM (SELECT seq, {_BINS_SQL} FROM {_MEASURED_SQL})")
+def behaviour_2d(s, d):
+    return _measured(s).select("seq", *tuning.behaviour_2d())
+
+
+@query("balanced_priority", f"SELECT seq, round(exp((0.4 * ln(greatest(recall, 0.001)) + 0.3 * ln(greatest(1 - {_log_share_sql('latency_us', 10000.0)}, 0.001)) + 0.2 * ln(greatest(1 - least(greatest((bytes - 1000) / 9000.0, 0.0), 1.0), 0.001)) + 0.1 * ln(greatest(1 - {_log_share_sql('build_ms', 10000.0)}, 0.001))) / 1.0) * CASE WHEN recall < 0.99 THEN (recall / 0.99) ^ 3 ELSE 1 END, 6) AS fitness FROM {_MEASURED_SQL}")
+def balanced_priority(s, d):
+    return _measured(s).select("seq", F.round(tuning.fitness(tuning.balanced(4, 3, 2, 1)), 6).alias("fitness"))
+
+
+@query("research_tier_in_time", "SELECT b::DOUBLE AS seconds, CASE WHEN b >= 120 THEN 'deeper' WHEN b >= 45 THEN 'default' WHEN b >= 15 THEN 'medium' ELSE 'basic' END AS tier FROM (VALUES (1), (15), (44), (45), (119), (120), (500)) t(b)")
+def research_tier_in_time(s, d):
+    return s.createDataFrame([(float(b),) for b in (1, 15, 44, 45, 119, 120, 500)], "seconds double").withColumn("tier", tuning.research_tier_in_time(F.col("seconds")))
+
+
 @query("research_tier", "SELECT b::DOUBLE AS budget, CASE WHEN b >= 1.30 THEN 'deeper' WHEN b >= 0.50 THEN 'default' WHEN b >= 0.07 THEN 'medium' ELSE 'basic' END AS tier FROM (VALUES (0.02), (0.07), (0.10), (0.5), (1.0), (1.3), (2.0)) t(b)")
 def research_tier(s, d):
     return s.createDataFrame([(b,) for b in (0.02, 0.07, 0.10, 0.5, 1.0, 1.3, 2.0)], "budget double").withColumn("tier", tuning.research_tier(F.col("budget")))
@@ -428,21 +570,21 @@ def insert_timings(s, d):
     import numpy as np
 
     rows = _emb(s, d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000).select("embedding").collect()  # a bounded sample
-    return tuning.insert_timings(s, np.array([r[0] for r in rows]))
+    return tuning.insert_timings(s, list(tuning.INSERT_SEEDS), np.array([r[0] for r in rows]))
 
 
 # ---- quality and diversity over documents ------------------------------------------------------------------------------
 
 _KEYWORDS = ["index", "graph", "vector", "latency"]
 _SHARE = "((" + " + ".join(f"contains(lower(coalesce(text, '')), '{k}')::INT" for k in _KEYWORDS) + ") / 4.0)::DOUBLE"
-_FEATURES_SQL = f"(SELECT doc_id, n_chars AS fitness, least(n_chars / 5000.0, 1.0)::DOUBLE AS f0, {_SHARE} AS f1 FROM documents WHERE n_chars IS NOT NULL)"
+_FEATURES_SQL = f"(SELECT doc_id, fitness, least(fitness / 5000.0, 1.0)::DOUBLE AS f0, f1 FROM (SELECT doc_id, coalesce(length(text), 0) AS fitness, {_SHARE} AS f1 FROM documents))"
 _QD_SQL = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c0, c1 ORDER BY fitness DESC, doc_id) AS n FROM (SELECT *, least(floor(f0 * 10), 9)::INT AS c0, least(floor(f1 * 10), 9)::INT AS c1 FROM {_FEATURES_SQL})) WHERE n = 1)"
 
 
 def _documents_archive(s, d):
-    docs = table(s, d, "documents").where("n_chars is not null")
-    f = F.array(F.least(F.col("n_chars") / 5000.0, F.lit(1.0)), tuning.keyword_share("text", _KEYWORDS))
-    return tuning.archive(docs.select("doc_id", F.col("n_chars").alias("fitness"), tuning.behaviour_cell(f, 10, 2).alias("cell")), ["cell"], order_col="doc_id")
+    docs = table(s, d, "documents").withColumn("n", F.coalesce(F.length("text"), F.lit(0)).cast("long"))  # n_chars may be stale or null
+    f = F.array(F.least(F.col("n") / 5000.0, F.lit(1.0)), tuning.keyword_share("text", _KEYWORDS))
+    return tuning.archive(docs.select("doc_id", F.col("n").alias("fitness"), tuning.behaviour_cell(f, 10, 2).alias("cell")), ["cell"], order_col="doc_id")
 
 
 @query("text_behaviour", f"SELECT doc_id, {_SHARE} AS share FROM documents")
@@ -453,8 +595,7 @@ def text_behaviour(s, d):
 @query("query_behaviour", f"WITH e AS ({_E}) SELECT e.vec_id, list(round((list_cosine_similarity(e.v, q.v) + 1) / 2, 6) ORDER BY q.vec_id) AS features FROM e, e q WHERE q.vec_id < 4 GROUP BY e.vec_id")
 def query_behaviour(s, d):
     refs = [r.embedding for r in _emb(s, d).where("vec_id < 4").orderBy("vec_id").collect()]  # four reference vectors
-    lit = lambda v: F.array(*(F.lit(float(x)) for x in v))
-    return _emb(s, d).select("vec_id", F.array(*(F.round((V.cosine("embedding", lit(v)) + 1) / 2, 6) for v in refs)).alias("features"))
+    return _emb(s, d).select("vec_id", F.transform(tuning.query_features("embedding", refs), lambda x: F.round(x, 6)).alias("features"))
 
 
 @query("qd_cells", f"SELECT [c0, c1, 0, 0] AS cell, doc_id, fitness FROM {_QD_SQL}")
@@ -475,10 +616,10 @@ def qd_top_elites(s, d):
 
 @query("map_elites_run")
 def map_elites_run(s, d):
-    phrases = ["vector index tuning", "graph of concepts", "latency of a query"]
+    titles = [r.title for r in table(s, d, "documents").where("title is not null").groupBy("title").count().orderBy(F.desc("count"), "title").limit(50).collect()]  # seeds: the most frequent titles
     score = lambda batch: [(float(len(t)), [min(len(t) / 60, 1.0), min(len(set(t.split())) / 10, 1.0)]) for t in batch]
-    out = tuning.map_elites(lambda r: r.choice(phrases), tuning.mutated_words, score, 5, 10, 20, 10)
-    return s.createDataFrame([(list(c), t, f) for c, t, f, _ in out], "cell array<int>, solution string, fitness double")
+    out = tuning.map_elites(lambda r: r.choice(titles), tuning.mutated_words, score, tuning.MapElites(5, 10, 20, 10))
+    return s.createDataFrame([(list(e.cell), e.solution, e.fitness) for e in out.elites()], "cell array<int>, solution string, fitness double")
 
 
 # ---- concept graph ---------------------------------------------------------------------------------------------------
@@ -556,6 +697,22 @@ def graph_outgoing(s, d):
     return graph.kept(edges(s, d), ["related_to"], 0.5).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
+@query("graph_outgoing_of", f"WITH {_EDGES} SELECT src, dst, rel_type FROM g WHERE src = 'n3' AND rel_type = 'related_to'")
+def graph_outgoing_of(s, d):
+    return graph.outgoing(edges(s, d), "n3", "related_to").select("src", "dst", "rel_type")
+
+
+@query("graph_incoming_of", f"WITH {_EDGES} SELECT src, dst, rel_type FROM g WHERE dst = 'r1'")
+def graph_incoming_of(s, d):
+    return graph.incoming(edges(s, d), "r1").select("src", "dst", "rel_type")
+
+
+@query("concept_upsert", "SELECT id, max(CASE WHEN contains(lower(id), 'a') THEN 'new' ELSE name END) AS name FROM concept WHERE id IS NOT NULL GROUP BY id")
+def concept_upsert(s, d):
+    c = table(s, d, "concept").where("id is not null").groupBy("id").agg(F.max("name").alias("name"))
+    return graph.upsert_concepts(c, c.where(F.contains(F.lower("id"), F.lit("a"))).select("id", F.lit("new").alias("name")))
+
+
 _NEW = [("r0", "s1"), ("r1", "x9"), ("n3", "n3"), ("s2", "r4")]
 
 
@@ -566,7 +723,7 @@ def graph_cycle_check(s, d):
 
 @query("graph_counts", f"WITH {_EDGES} SELECT rel_type, count(*)::BIGINT AS n FROM g GROUP BY rel_type")
 def graph_counts(s, d):
-    return edges(s, d).groupBy("rel_type").agg(F.count("*").alias("n"))
+    return graph.counts(edges(s, d))
 
 
 @query("concept_by_name", "SELECT name, arg_max(id, id) AS id FROM concept WHERE name IS NOT NULL GROUP BY name")
@@ -576,8 +733,7 @@ def concept_by_name(s, d):
 
 @query("concept_embeddings", "SELECT DISTINCT c.id, c.embedding_id FROM concept c WHERE c.embedding_id IN (SELECT id FROM vectors)")
 def concept_embeddings(s, d):
-    v = table(s, d, "vectors").select(F.col("id").alias("embedding_id"))
-    return table(s, d, "concept").select("id", "embedding_id").distinct().join(v, "embedding_id", "left_semi").select("id", "embedding_id")
+    return graph.embedded(table(s, d, "concept"), table(s, d, "vectors")).select("id", "embedding_id").distinct()
 
 
 # ---- ingestion -------------------------------------------------------------------------------------------------------
@@ -589,19 +745,37 @@ def chunk_fixed(s, d):
     return ingest.chunk_fixed(table(s, d, "documents"), "doc_id", "text")
 
 
-@query("chunk_sentence")
+_STRIP = r"'^[\t-\r\x1c-\x20\x{85}\p{Z}]+|[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '', 'g'"
+_LAST = "length(regexp_extract(w, '(?s)^(.*){}', 1))"
+_STEP = "CASE WHEN at + 500 < length(text) THEN CASE " + " ".join(f"WHEN {_LAST.format(s)} > 250 THEN {_LAST.format(s)} + 2" for s in (r"\. ", r"\.\n", "! ", r"\? ", r"\n\n")) + " ELSE 500 END ELSE 500 END"
+
+
+@query("chunk_sentence", rf"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE length(text) > 500),
+c AS (SELECT r, at, step, w FROM (SELECT *, {_STEP} AS step FROM (SELECT r, text, 0 AS at, substr(text, 1, 500) AS w FROM t))
+  UNION ALL SELECT r, at, step, w FROM (SELECT *, {_STEP} AS step FROM (SELECT t.r, t.text, c.at + c.step - 100 AS at, substr(t.text, c.at + c.step - 99, 500) AS w FROM c JOIN t USING (r) WHERE c.at + c.step - 100 < length(t.text)))),
+k AS (SELECT r, at, regexp_replace(substr(w, 1, step), {_STRIP}) AS chunk FROM c)
+SELECT doc_id, (row_number() OVER (PARTITION BY r ORDER BY at) - 1)::INT AS chunk_index, chunk FROM k JOIN t USING (r) WHERE chunk <> ''
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 500""")
 def chunk_sentence(s, d):
     return ingest.chunked(table(s, d, "documents"), "doc_id", "text", lambda t: ingest.sentences(t, 500, 100))
 
 
-@query("chunk_paragraph")
+@query("chunk_paragraph", rf"""WITH RECURSIVE p AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(string_split(text, E'\n\n'), lambda x: regexp_replace(x, {_STRIP})), lambda x: length(x) > 0) AS ps FROM documents WHERE text IS NOT NULL),
+f AS (SELECT r, 1 AS i, '' AS now, []::VARCHAR[] AS done FROM p
+  UNION ALL SELECT r, i + 1, CASE WHEN now = '' OR length(now) + 2 + length(ps[i]) >= 1000 THEN ps[i] ELSE now || E'\n\n' || ps[i] END, CASE WHEN now = '' OR length(now) + 2 + length(ps[i]) < 1000 THEN done ELSE list_append(done, now) END FROM f JOIN p USING (r) WHERE i <= len(ps)),
+k AS (SELECT doc_id, list_filter(list_append(done, now), lambda x: length(x) > 50) AS cs FROM f JOIN p USING (r) WHERE i = len(ps) + 1)
+SELECT doc_id, (unnest(range(1, len(cs) + 1)) - 1)::INT AS chunk_index, unnest(cs) AS chunk FROM k""")
 def chunk_paragraph(s, d):
-    return ingest.chunked(table(s, d, "documents"), "doc_id", "text", lambda t: ingest.paragraphs(t, 1000))
+    return ingest.paragraph_chunks(table(s, d, "documents"), "doc_id", "text", 1000)
 
 
-@query("chunk_equal_parts")
+@query("chunk_equal_parts", rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\t-\r\x1c-\x20\x{{85}}\p{{Z}}]+', ' ', 'g'), {_STRIP}) AS t FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, t, part, part * (length(t) // 3) AS a, (part + 1) * (length(t) // 3) AS b FROM t, (SELECT unnest(range(3)) AS part)),
+n AS (SELECT *, greatest(a + 1, b - 200, 0) AS low FROM e), w AS (SELECT *, substr(t, low + 1, greatest(b + 200 - low, 0)) AS near FROM n),
+c AS (SELECT doc_id, part, regexp_replace(substr(t, a + 1, CASE WHEN part = 2 THEN length(t) WHEN regexp_matches(near, '\. ') THEN low + length(regexp_extract(near, '(?s)^(.*)\. ', 1)) + 1 ELSE b END - a), {_STRIP}) AS p FROM w)
+SELECT doc_id, part::INT AS part, substr(p, 1, 8000) AS text, length(p)::INT AS char_count FROM c""")
 def chunk_equal_parts(s, d):
-    return ingest.chunked(table(s, d, "documents"), "doc_id", "text", lambda t: [p for p, _ in ingest.equal_parts(t)])
+    return ingest.equal_parts(table(s, d, "documents"), "doc_id", "text")
 
 
 @query("doc_ids", "SELECT DISTINCT filename, chunk_index, (('0x' || substr(md5(filename || ':' || chunk_index), 1, 16))::UBIGINT % 9223372036854775808)::BIGINT AS doc_id FROM doc_store")
@@ -627,8 +801,8 @@ def rag_join(s, d):
 
 @query("id_lookup", "SELECT DISTINCT id, filename, chunk_index FROM doc_store WHERE id IN (SELECT chunk_id FROM results) OR id % 10 = 3")
 def id_lookup(s, d):
-    ids = table(s, d, "results").select(F.col("chunk_id").alias("id")).union(table(s, d, "doc_store").where("id % 10 = 3").select("id")).distinct()
-    return table(s, d, "doc_store").join(ids, "id", "left_semi").select("id", "filename", "chunk_index").distinct()
+    ids = table(s, d, "results").select(F.col("chunk_id").alias("id")).union(table(s, d, "doc_store").where("id % 10 = 3").select("id"))
+    return store.looked_up(table(s, d, "doc_store"), ids, "id").select("id", "filename", "chunk_index").distinct()
 
 
 @query("delete_document", "SELECT id, filename FROM doc_store WHERE filename IS NULL OR filename <> (SELECT min(filename) FROM doc_store)")

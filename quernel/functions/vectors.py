@@ -73,6 +73,11 @@ def normalized(v: Column | str) -> Column:
     return F.when(n > TINY, F.transform(_double(v), lambda x: x / n)).otherwise(_double(v))
 
 
+def norm_and_unit(v: Column | str) -> Column:
+    """The norm before, and the unit vector."""
+    return F.struct(norm(v).alias("norm"), normalized(v).alias("unit"))
+
+
 def zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0), dim)
 

@@ -43,6 +43,21 @@ def by_name(concepts: DataFrame, order_col: str) -> DataFrame:
     return concepts.groupBy("name").agg(F.max_by("id", F.struct(order_col, "id")).alias("id"))
 
 
+def upsert_concepts(concepts: DataFrame, change: DataFrame) -> DataFrame:
+    """Concepts with those of ``change`` added or put in place of the ones with their ids."""
+    return concepts.join(change.select("id").distinct(), "id", "left_anti").select(*change.columns).unionByName(change)
+
+
+def embedded(concepts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The concepts whose ``embedding_id`` is a vector's ``id``."""
+    return concepts.join(vectors.select(F.col("id").alias("embedding_id")).distinct(), "embedding_id", "left_semi")
+
+
+def counts(edges: DataFrame) -> DataFrame:
+    """``(rel_type, n)``."""
+    return edges.groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
 def valid(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """The edges whose two ends are concepts."""
     ids = concepts.select("id").distinct()
@@ -54,20 +69,23 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, bot
     hop = edges.select("src", "dst")
     if both_ways:
         hop = hop.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    hop = hop.distinct()
-    seen = cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())
-    frontier, depth = seen, 0
+    hop = cut(hop.distinct())
+    # A level is a table of its own and written once; what is seen is their union.
+    levels = [cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())]
+    seen, depth = levels[0], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        new = cut(frontier.join(hop, frontier["id"] == hop["src"]).select("start", F.col("dst").alias("id"), F.lit(depth).alias("depth")).distinct().join(seen, ["start", "id"], "left_anti"))
+        met = levels[-1].join(hop, levels[-1]["id"] == hop["src"]).select("start", F.col("dst").alias("id")).distinct()
+        new = cut(met.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.lit(depth).alias("depth")))
         if new.isEmpty():
             release(new)
             break
-        after = cut(seen.unionByName(new))
-        if frontier is not seen:
-            release(frontier)
-        release(seen)
-        seen, frontier = after, new
+        levels.append(new)
+        seen = seen.unionByName(new)
+        if len(levels) % 32 == 0:  # plans stay short
+            seen = cut(seen)
+            release(*levels[:-1])
+    release(hop)
     return seen
 
 

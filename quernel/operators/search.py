@@ -1,26 +1,28 @@
 """Exact and approximate nearest-neighbour search over a table of vectors.
 
-A query set is read in blocks of bounded size; each block is broadcast, every task scores its rows against it with
-one matrix product and keeps the best k of each query, and the tasks' lists are merged by a window with a pushed-down
-group limit.  The corpus is scanned once a block and never shuffled.
+A query set is read in blocks of bounded bytes; each block is broadcast, every task scores its rows against it in
+tiles and keeps the best k of each query until its end, and the tasks' lists are merged by a window with a pushed-down
+group limit.  The corpus is scanned once a block and never shuffled.  ``index`` keeps what is built here in files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.vectors import TINY, has_dim
+from quernel.plans.lineage import cut
 
 COSINE, EUCLIDEAN, DOT = "cosine", "euclidean", "dot"
-#: Queries that are broadcast at once (64 dimensions: 4 MB).
-BLOCK = 8192
+#: Bytes of the queries (or of their look-up tables) that a task holds at once, and numbers in a tile of distances.
+BLOCK_BYTES, TILE = 32 << 20, 2_000_000
 
 
 class DimensionMismatch(ValueError):
@@ -83,27 +85,74 @@ def reject_wrong(df: DataFrame, dim: int, vec_col: str = "embedding") -> tuple[D
     return df.where(ok), df.where(~ok)
 
 
-def blocks(queries: DataFrame, id_col: str, vec_col: str, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query set in blocks of at most ``BLOCK`` rows."""
-    ids, rows = [], []
+def blocks(queries: DataFrame, id_col: str, vec_col: str, dim: int, row_bytes: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The query set in blocks of at most ``BLOCK_BYTES``, with ``row_bytes`` a query (its vector's, if not given)."""
+    ids, rows, most = [], [], max(1, BLOCK_BYTES // (row_bytes or 8 * dim))
     for r in queries.select(id_col, vec_col).toLocalIterator():
         if r[1] is None or len(r[1]) != dim:
             raise DimensionMismatch(f"query {r[0]} has not {dim} values")
         ids.append(r[0])
         rows.append(r[1])
-        if len(ids) == BLOCK:
+        if len(ids) == most:
             yield np.array(ids, np.int64), np.array(rows, np.float64)
             ids, rows = [], []
     if ids:
         yield np.array(ids, np.int64), np.array(rows, np.float64)
 
 
+class Best:
+    """The best k of each query among all rows a task has seen; nine places and then the lesser id decide."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.n = k, [], 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Distances of all ``query`` (rows) to all ``ids`` (columns)."""
+        if not self.k or not dist.size:
+            return
+        r = np.round(dist, 9)
+        if r.shape[1] > self.k:
+            i, j = np.nonzero(r <= np.partition(r, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+        else:
+            i, j = (x.reshape(-1) for x in np.indices(r.shape))
+        self.held.append((query[i], ids[j], dist[i, j]))
+        self.n += len(i)
+        if self.n > 1_000_000:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        q, ids, dist = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, np.round(dist, 9), q))
+        q, ids, dist = q[order], ids[order], dist[order]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        self.held, self.n = [(q[kept], ids[kept], dist[kept])], 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._shrink()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.held[0]], ["query_id", "vec_id", "dist"])
+
+
+def tiles(n_queries: int, n_rows: int) -> Iterator[slice]:
+    """Slices of the queries so that a tile with all rows has at most ``TILE`` distances."""
+    step = max(1, TILE // max(1, n_rows))
+    for lo in range(0, n_queries, step):
+        yield slice(lo, lo + step)
+
+
 def top(lists: DataFrame, k: int) -> DataFrame:
     """``(query_id, vec_id, dist, rank)``: the best k of each query; ties, to nine places, go to the lesser id."""
     best = Window.partitionBy("query_id").orderBy(F.round("dist", 9), "vec_id")
     return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _scored(out: DataFrame | None, like: DataFrame, metric: str) -> DataFrame:
+    """What a search returns; no rows if there was no query."""
+    if out is None:
+        out = like.sparkSession.createDataFrame([], "query_id long, vec_id long, dist double, rank int")
+    return out.select("query_id", "rank", "vec_id", score(F.col("dist"), metric).alias("score"))
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = COSINE, dim: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest rows of each query, itself included.
 
@@ -119,27 +168,54 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = COSINE, dim
         shared = corpus.sparkSession.sparkContext.broadcast((ids, q))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qi, qv = shared.value
+            (qi, qv), best = shared.value, Best(k)
             for b in batches:
-                if not b.num_rows or not k:
-                    continue
-                vid, d = b.column(0).to_numpy(), distances(qv, _matrix(b.column(1), dim), metric)
-                n = min(k, len(vid))
-                # nine places and the id decide ties, as in the merge
-                order = np.lexsort((np.broadcast_to(vid, d.shape), np.round(d, 9)), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(vid[order].reshape(-1)), pa.array(np.take_along_axis(d, order, 1).reshape(-1))], ["query_id", "vec_id", "dist"])
+                if b.num_rows and k:
+                    vid, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
+                    for t in tiles(len(qi), len(vid)):
+                        best.add(qi[t], vid, distances(qv[t], x, metric))
+            yield from best.batches()
 
         part = top(good.mapInArrow(run, "query_id long, vec_id long, dist double"), k)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = corpus.sparkSession.createDataFrame([], "query_id long, vec_id long, dist double, rank int")
-    return out.select("query_id", "rank", "vec_id", score(F.col("dist"), metric).alias("score"))
+    return _scored(out, corpus, metric)
+
+
+def scores(queries: DataFrame, corpus: DataFrame, metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = DOT, dim: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(query_id, vec_id, dist)`` of every query and every row: the distances of a metric, or of a function of two
+    matrices that gives one value a pair.  As many rows as pairs: for few queries."""
+    out = None
+    good = corpus.where(has_dim(vec_col, dim)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
+    for ids, q in blocks(queries, id_col, vec_col, dim):
+        shared = corpus.sparkSession.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qi, qv = shared.value
+            for b in batches:
+                vid, x = b.column(0).to_numpy(), _matrix(b.column(1), dim)
+                for t in tiles(len(qi), len(vid)):
+                    d = metric(qv[t], x) if callable(metric) else distances(qv[t], x, metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi[t], len(vid))), pa.array(np.tile(vid, len(qi[t]))), pa.array(np.asarray(d, np.float64).reshape(-1))], ["query_id", "vec_id", "dist"])
+
+        part = good.mapInArrow(run, "query_id long, vec_id long, dist double")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else corpus.sparkSession.createDataFrame([], "query_id long, vec_id long, dist double")
+
+
+def recall(found: DataFrame, truth: DataFrame, k: int | None = None, distinct: bool = False) -> DataFrame:
+    """``(query_id, recall)``: share of the true neighbours that were found: of the true ones there are (at most
+    ``k``, where it is given), or of ``k`` itself by ``recall_of_k``.  ``distinct`` counts a true neighbour once."""
+    t = truth.select("query_id", "vec_id")
+    t = t.distinct() if distinct else t
+    hits = t.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")).distinct(), ["query_id", "vec_id"], "left")
+    n = F.count("*") if k is None else F.least(F.count("*"), F.lit(k))
+    return hits.groupBy("query_id").agg((F.count("hit") / n).alias("recall"))
 
 
-def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """``(query_id, recall)``: share of the true neighbours that were found."""
-    hits = truth.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
-    return hits.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+def recall_of_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """``(query_id, recall)``: true neighbours found over ``k``, however few true ones there are."""
+    hits = truth.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")).distinct(), ["query_id", "vec_id"], "left")
+    return hits.groupBy("query_id").agg((F.count("hit") / F.lit(float(k))).alias("recall"))
 
 
 # ---- k-means and inverted lists ----------------------------------------------------------------------------------
@@ -204,34 +280,57 @@ def ivf_search(queries: DataFrame, postings: DataFrame, centroids: np.ndarray, k
         shared = postings.sparkSession.sparkContext.broadcast((ids, q, mask))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qi, qv, probed = shared.value
+            (qi, qv, probed), best = shared.value, Best(k)
             for b in batches:
                 vid, part = b.column(0).to_numpy(), b.column(1).to_numpy()
                 for p in np.unique(part):
                     rows, who = np.flatnonzero(part == p), np.flatnonzero(probed[:, p])
-                    if not len(who):
-                        continue
-                    d = distances(qv[who], _matrix(b.column(2).take(pa.array(rows)), dim), metric)
-                    n = min(k, len(rows))
-                    order = np.lexsort((np.broadcast_to(vid[rows], d.shape), np.round(d, 9)), axis=1)[:, :n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi[who], n)), pa.array(vid[rows][order].reshape(-1)), pa.array(np.take_along_axis(d, order, 1).reshape(-1))], ["query_id", "vec_id", "dist"])
+                    if len(who):
+                        x = _matrix(b.column(2).take(pa.array(rows)), dim)
+                        for t in tiles(len(who), len(rows)):
+                            best.add(qi[who[t]], vid[rows], distances(qv[who[t]], x, metric))
+            yield from best.batches()
 
         part = top(postings.where(F.col("part").isin([int(p) for p in np.unique(probes)])).select("vec_id", "part", "v").mapInArrow(run, "query_id long, vec_id long, dist double"), k)
         out = part if out is None else out.unionByName(part)
-    return out.select("query_id", "rank", "vec_id", score(F.col("dist"), metric).alias("score"))
+    return _scored(out, postings, metric)
 
 
 # ---- product quantization ----------------------------------------------------------------------------------------
 
 
 def pq_train(corpus: DataFrame, subspaces: int, clusters: int, rounds: int, id_col: str = "vec_id", vec_col: str = "embedding") -> np.ndarray:
-    """Codebooks (subspaces x clusters x width): independent Euclidean k-means in each subspace."""
-    row = corpus.select(F.size(vec_col).alias("n")).first()
-    dim = row.n if row else 0
+    """Codebooks (subspaces x clusters x width): independent Euclidean k-means in each subspace, from the vectors of
+    the least ids.  A round is one scan for all subspaces; a task returns one sum a codebook entry."""
+    first = corpus.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).orderBy(id_col).limit(clusters).collect()
+    dim = len(first[0][1]) if first else 0
     if dim % subspaces or clusters > 256:
         raise ValueError("the dimension must be a multiple of the subspaces, and codes fit a byte")
+    if len(first) < clusters:
+        raise NotTrained(f"{clusters} clusters need as many vectors")
     w = dim // subspaces
-    return np.stack([kmeans(corpus.select(id_col, F.slice(vec_col, s * w + 1, w).alias("sub")), clusters, rounds, EUCLIDEAN, id_col, "sub") for s in range(subspaces)])
+    books = np.array([r[1] for r in first], np.float64).reshape(clusters, subspaces, w).transpose(1, 0, 2)
+    good = corpus.where(has_dim(vec_col, dim)).select(vec_col)
+    for _ in range(rounds):
+        now = books
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            s, n = np.zeros(now.shape), np.zeros(now.shape[:2], np.int64)
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b.column(0), dim).reshape(-1, subspaces, w)
+                    for m in range(subspaces):
+                        k = nearest(x[:, m], now[m], EUCLIDEAN)
+                        np.add.at(s[m], k, x[:, m])
+                        n[m] += np.bincount(k, minlength=clusters)
+            at = np.flatnonzero(n.reshape(-1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.reshape(-1)[at]), pa.array(list(s.reshape(-1, w)[at]), pa.list_(pa.float64()))], ["at", "n", "s"])
+
+        books = now.copy().reshape(-1, w)
+        for r in good.mapInArrow(run, "at long, n long, s array<double>").groupBy("at").agg(F.sum("n").alias("n"), *(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(w))).collect():
+            books[r["at"]] = np.array([r[f"s{i}"] for i in range(w)]) / r.n
+        books = books.reshape(now.shape)
+    return books
 
 
 def pq_encode(corpus: DataFrame, books: np.ndarray, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -250,25 +349,31 @@ def pq_encode(corpus: DataFrame, books: np.ndarray, id_col: str = "vec_id", vec_
 
 def pq_search(queries: DataFrame, codes: DataFrame, books: np.ndarray, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)`` by the sum of table look-ups: the squared distance to the decoded vector."""
-    m, _, w = books.shape
+    m, c, w = books.shape
     out = None
-    for ids, q in blocks(queries, id_col, vec_col, m * w):
-        tables = ((q.reshape(len(q), m, 1, w) - books[None]) ** 2).sum(-1)
-        shared = codes.sparkSession.sparkContext.broadcast((ids, tables))
+    shared_books = codes.sparkSession.sparkContext.broadcast(books)
+    for ids, q in blocks(queries, id_col, vec_col, m * w, 8 * m * c):
+        shared = codes.sparkSession.sparkContext.broadcast((ids, q))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qi, t = shared.value
+            (qi, qv), best, table = shared.value, Best(k), None
             for b in batches:
                 if b.num_rows:
-                    vid, c = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, m)
-                    d = sum(t[:, s, :][:, c[:, s]] for s in range(m))
-                    n = min(k, len(vid))
-                    order = np.lexsort((np.broadcast_to(vid, d.shape), np.round(d, 9)), axis=1)[:, :n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(vid[order].reshape(-1)), pa.array(np.take_along_axis(d, order, 1).reshape(-1))], ["query_id", "vec_id", "dist"])
+                    if table is None:  # of a task, so that it need not travel; bounded by the block
+                        table = ((qv.reshape(len(qv), m, 1, w) - shared_books.value[None]) ** 2).sum(-1)
+                    vid, code = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, m)
+                    for t in tiles(len(qi), len(vid)):
+                        best.add(qi[t], vid, sum(table[t, s][:, code[:, s]] for s in range(m)))
+            yield from best.batches()
 
         part = top(codes.mapInArrow(run, "query_id long, vec_id long, dist double"), k)
         out = part if out is None else out.unionByName(part)
-    return out.select("query_id", "rank", "vec_id", F.col("dist").alias("score"))
+    return _scored(out, codes, DOT)
+
+
+def compression_ratio(dim: int, subspaces: Column | int) -> Column:
+    """Bytes of a vector over the bytes of its code."""
+    return F.lit(dim * 4.0) / (subspaces if isinstance(subspaces, Column) else F.lit(subspaces))
 
 
 # ---- proximity graphs, one a shard -------------------------------------------------------------------------------
@@ -297,8 +402,6 @@ class Graph:
         return np.linalg.norm(y - q, axis=1) if self.metric == EUCLIDEAN else (1 - y @ q if self.metric == COSINE else -(y @ q))
 
     def _layer(self, q: np.ndarray, starts: list[int], ef: int, level: int) -> list[tuple[float, int]]:
-        import heapq
-
         seen = set(starts)
         d = self._dist(q, starts)
         cand = sorted(zip(d.tolist(), starts))
@@ -352,26 +455,49 @@ class Graph:
         return self._layer(q, at, max(ef, k), 0)[:k]
 
 
-def _shard(shared, config: IndexConfig, k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def hnsw_build(corpus: DataFrame, config: IndexConfig, shards: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(shard, graph)``: the corpus dealt by hash into shards, and the graph of each as one row.  Write it once; a
+    search reads it.  Of rows with one id any is taken."""
+    dealt = corpus.where(has_dim(vec_col, config.dim)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).dropDuplicates(["vec_id"]).withColumn("shard", shard_of("vec_id", shards))
+
+    def run(key, pdf):
         pdf = pdf.sort_values("vec_id")
         vid = pdf["vec_id"].to_numpy()
         g = Graph(np.array(pdf["v"].tolist(), np.float64), vid, config.metric, config.m, config.ef_construction)
-        rows = [(int(i), int(vid[b]), d) for i, v in zip(*shared.value) for d, b in g.search(v, k, config.ef_search)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "dist"])
+        g.x, g.ids = g.x.astype(np.float32), vid
+        return type(pdf)({"shard": [int(key[0])], "graph": [pickle.dumps(g, protocol=5)]})
 
-    return run
+    return dealt.groupBy("shard").applyInPandas(run, "shard int, graph binary")
 
 
-def hnsw_search(queries: DataFrame, corpus: DataFrame, k: int, config: IndexConfig, shard_rows: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the corpus is dealt by hash into shards of about ``shard_rows``; each
-    builds its graph and answers all queries, and the answers are merged."""
-    n, out = corpus.count(), None
-    shards = max(1, -(-n // shard_rows))
-    dealt = corpus.where(has_dim(vec_col, config.dim)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(shards)).alias("shard")).dropDuplicates(["vec_id"])
+def shard_of(id_col: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
+
+
+def hnsw_query(queries: DataFrame, graphs: DataFrame, k: int, config: IndexConfig, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: every stored graph answers all queries, and the answers are merged."""
+    out = None
     for ids, q in blocks(queries, id_col, vec_col, config.dim):
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, q))
+        shared = graphs.sparkSession.sparkContext.broadcast((ids, q))
 
-        part = top(dealt.groupBy("shard").applyInPandas(_shard(shared, config, k), "query_id long, vec_id long, dist double"), k)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            (qi, qv), best = shared.value, Best(k)
+            for b in batches:
+                for raw in b.column(0):
+                    g = pickle.loads(raw.as_py())  # noqa: S301 - our own files
+                    g.x = g.x.astype(np.float64)
+                    for i, v in zip(qi, qv):
+                        near = g.search(v, k, config.ef_search)
+                        if near:
+                            best.add(np.array([i]), g.ids[[n for _, n in near]], np.array([[d for d, _ in near]]))
+            yield from best.batches()
+
+        part = top(graphs.select("graph").mapInArrow(run, "query_id long, vec_id long, dist double"), k)
         out = part if out is None else out.unionByName(part)
-    return out.select("query_id", "rank", "vec_id", score(F.col("dist"), config.metric).alias("score"))
+    return _scored(out, graphs, config.metric)
+
+
+def hnsw_search(queries: DataFrame, corpus: DataFrame, k: int, config: IndexConfig, shard_rows: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``hnsw_build`` and ``hnsw_query`` in one, with the graphs written between, so no search builds them again."""
+    graphs = cut(hnsw_build(corpus, config, max(1, -(-corpus.count() // shard_rows)), id_col, vec_col))
+    return hnsw_query(queries, graphs, k, config, id_col, vec_col)

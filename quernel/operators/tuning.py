@@ -8,6 +8,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.functions import vectors as V
 from quernel.operators import search
 
 # The presets (name, kind, m, ef_construction, ef_search, partitions, nprobe).
@@ -54,9 +56,16 @@ PRIORITIES = {
 INSERT_PRIORITIES = {"default": (0.50, 0.15, 0.20, 0.15), "throughput_first": (0.70, 0.10, 0.10, 0.10), "balanced": (0.40, 0.20, 0.20, 0.20)}
 # What genes may be.
 GENES = {"kind": ("flat", "hnsw", "ivf"), "m": (8, 12, 16, 24, 32, 48), "efc": (50, 100, 150, 200, 300), "efs": (10, 20, 40, 50, 80, 100, 150), "partitions": (32, 64, 128, 256, 512), "nprobe": (2, 4, 8, 16, 32, 64)}
-INSERT_GENES = {"strategy": ("simd", "parallel", "chunked", "unrolled", "interleaved", "adaptive"), "batch": (1, 10, 50, 100, 500, 1000), "parallel": (False, True), "prefetch": (0, 2, 4, 8)}
-# Tier, cost, sources of the research tiers and the bounds of choice by budget and by time.
-RESEARCH_TIERS = (("deeper", 1.30, 1.30, 120), ("default", 0.50, 0.50, 45), ("medium", 0.07, 0.07, 15), ("basic", 0.04, None, None))
+INSERT_GENES = {"strategy": ("sequential", "batch", "parallel", "chunked", "unrolled", "interleaved"), "batch": (1, 10, 50, 100, 500, 1000), "parallel": (False, True), "prefetch": (0, 2, 4, 8)}
+# What the search for an insert strategy starts with (strategy, batch, parallel, prefetch).
+INSERT_SEEDS = (
+    ("sequential", 1, False, 0), ("batch", 100, False, 4), ("parallel", 500, True, 8), ("chunked", 64, False, 4),
+    ("unrolled", 100, False, 0), ("interleaved", 200, False, 2), ("unrolled", 400, True, 4), ("interleaved", 500, True, 8),
+)
+# Tier, cost, least budget, least seconds, expected seconds and sources (from, to) of the research tiers.
+RESEARCH_TIERS = (
+    ("deeper", 1.30, 1.30, 120, 45, 120, 15, 25), ("default", 0.50, 0.50, 45, 15, 45, 10, 15), ("medium", 0.07, 0.07, 15, 5, 15, 5, 10), ("basic", 0.04, None, None, 1, 5, 3, 5),
+)
 
 
 @dataclass(frozen=True)
@@ -71,10 +80,12 @@ class Tuning:
     early_stop: float = 0.85
     least_generations: int = 4
     priority: str = "default"
+    insert_grid: int = 4
+    insert_priority: str = "default"
 
 
 TUNINGS = {
-    "default": Tuning(), "fast": Tuning(4, 6, 6, 200, 20, 0.80, 2), "thorough": Tuning(8, 20, 12, 500, 50, 0.95, 8),
+    "default": Tuning(), "fast": Tuning(4, 6, 6, 200, 20, 0.80, 2, insert_grid=3), "thorough": Tuning(8, 20, 12, 500, 50, 0.95, 8, insert_grid=5),
     "speed_only": Tuning(4, 4, 4, 150, 15, 0.75, 2), "balanced": Tuning(5, 10, 10, 300, 30, 0.90, 5), "search_first": Tuning(6, 12, 15, 400, 50, 0.92, 6, "search_optimized"),
 }
 
@@ -150,9 +161,15 @@ def _geometric(parts: list[tuple[Column, float]]) -> Column:
     return F.exp(out / F.lit(total))
 
 
-def fitness(priority: str = "default", recall: str = "recall", latency_us: str = "latency_us", size: str = "bytes", build_ms: str = "build_ms") -> Column:
+def balanced(recall: float, speed: float, memory: float, build: float) -> tuple[float, float, float, float]:
+    """Weights of one's own, scaled to a sum of 1."""
+    total = recall + speed + memory + build
+    return recall / total, speed / total, memory / total, build / total
+
+
+def fitness(priority: str | tuple[float, float, float, float] = "default", recall: str = "recall", latency_us: str = "latency_us", size: str = "bytes", build_ms: str = "build_ms") -> Column:
     """Fitness of an evaluated index: recall, speed, memory and build time by weight, and a penalty below 0.99."""
-    r, s, m, b = PRIORITIES[priority]
+    r, s, m, b = PRIORITIES[priority] if isinstance(priority, str) else priority
     rec = F.col(recall)
     base = _geometric([(rec, r), (1 - _share_of_log(F.col(latency_us), 10_000.0), s), (1 - _clamp((F.col(size) - 1000) / 9000.0), m), (1 - _share_of_log(F.col(build_ms), 10_000.0), b)])
     return F.when(rec < 0.99, base * F.pow(rec / 0.99, F.lit(3.0))).otherwise(base)
@@ -169,6 +186,11 @@ def behaviour(cells: int = 6, bytes_from: float = 3000.0, bytes_span: float = 30
     return [_cell(F.col("recall"), cells).alias("r_bin"), _cell(lat, cells).alias("l_bin"), _cell(_clamp((F.col("bytes") - bytes_from) / bytes_span), cells).alias("m_bin")]
 
 
+def behaviour_2d(cells: int = 6, bytes_from: float = 3000.0, bytes_span: float = 3000.0) -> list[Column]:
+    """The cell by latency and memory alone."""
+    return behaviour(cells, bytes_from, bytes_span)[1:]
+
+
 def insert_fitness(priority: str = "default") -> Column:
     """Fitness of an insert strategy from ``throughput``, ``overhead``, ``cpu`` and ``scaling``."""
     t, m, c, b = INSERT_PRIORITIES[priority]
@@ -214,6 +236,17 @@ def from_range(x: Column, low: float, high: float) -> Column:
     return F.lit(0.5) if high <= low else _clamp((x - low) / (high - low))
 
 
+def behaviour_distance(a: Column | str, b: Column | str) -> Column:
+    """Euclidean distance of two feature arrays."""
+    return V.distance(a, b)
+
+
+def query_features(vector: Column | str, references: list[list[float]]) -> Column:
+    """A vector's features: its cosine with each reference vector (a few, given as values), scaled to 0..1; 0.5 where
+    either has no length."""
+    return F.array(*((V.cosine(vector, F.array(*(F.lit(float(x)) for x in r))) + 1) / 2 for r in references))
+
+
 def keyword_share(text: Column | str, keywords: list[str]) -> Column:
     """Share of the keywords that the lower-cased text contains."""
     t = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
@@ -227,8 +260,22 @@ def research_tier(budget: Column) -> Column:
     return F.when(budget >= 1.30, "deeper").when(budget >= 0.50, "default").when(budget >= 0.07, "medium").otherwise("basic")
 
 
+def research_tier_in_time(seconds: Column) -> Column:
+    return F.when(seconds >= 120, "deeper").when(seconds >= 45, "default").when(seconds >= 15, "medium").otherwise("basic")
+
+
+def research_tiers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, c, *map(int, more)) for t, c, _, _, *more in RESEARCH_TIERS], "tier string, cost double, least_seconds int, most_seconds int, least_sources int, most_sources int")
+
+
+def retry_delays(retries: int, first_ms: int = 100) -> list[int]:
+    """Milliseconds before each further attempt: twice as long each time."""
+    return [first_ms << i for i in range(retries)]
+
+
 # ---- the search ----------------------------------------------------------------------------------------------------
 
+# What the search starts with, and the values of genes that a seed does not name.
 SEEDS = (
     {"kind": "hnsw", "m": 16, "efc": 200, "efs": 50}, {"kind": "hnsw", "m": 8, "efc": 50, "efs": 10}, {"kind": "hnsw", "m": 32, "efc": 300, "efs": 100}, {"kind": "hnsw", "m": 8, "efc": 100, "efs": 20}, {"kind": "hnsw", "m": 48, "efc": 300, "efs": 150},
     {"kind": "flat"}, {"kind": "ivf", "partitions": 32, "nprobe": 4}, {"kind": "ivf", "partitions": 128, "nprobe": 16}, {"kind": "ivf", "partitions": 256, "nprobe": 32}, {"kind": "ivf", "partitions": 512, "nprobe": 64},
@@ -341,38 +388,166 @@ def tune(corpus: DataFrame, how: Tuning = Tuning(), seed: int = 7, id_col: str =
     return spark.createDataFrame(elites.reset_index(drop=True)).orderBy(F.desc("fitness"), "seq")
 
 
-def insert_timings(spark: SparkSession, vectors: np.ndarray) -> DataFrame:
-    """``(strategy, vectors_per_s)``: how fast batches of each size are normalised; every strategy gives one result."""
-    out = []
-    for name, batch in zip(INSERT_GENES["strategy"], (1, 10, 50, 100, 500, 1000)):
-        t0 = time.perf_counter()
-        for lo in range(0, len(vectors), batch):
-            b = vectors[lo : lo + batch]
-            b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), search.TINY)
-        out.append((name, batch, len(vectors) / max(1e-9, time.perf_counter() - t0)))
-    return spark.createDataFrame(out, "strategy string, batch int, vectors_per_s double")
+def _normalise(x: np.ndarray, strategy: str, batch: int, parallel: bool) -> None:
+    """Normalise all rows in place, the way a strategy does."""
+    n = len(x)
+
+    def whole(lo: int, hi: int) -> None:
+        part = x[lo:hi]
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), search.TINY)
+
+    def one_by_one(lo: int, hi: int) -> None:
+        for v in x[lo:hi]:
+            v /= max(float(np.sqrt(v @ v)), search.TINY)
+
+    def four_by_four(lo: int, hi: int) -> None:
+        for i in range(lo, hi, 4):
+            part = x[i : min(hi, i + 4)]
+            part *= 1 / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), search.TINY)[:, None]
+
+    def norms_first(lo: int, hi: int) -> None:
+        norms = np.empty(hi - lo)
+        for i in range(lo, hi, 64):
+            norms[i - lo : i - lo + 64] = np.sqrt((x[i : min(hi, i + 64)] ** 2).sum(axis=1))
+        x[lo:hi] /= np.maximum(norms, search.TINY)[:, None]
+
+    how = {"sequential": one_by_one, "unrolled": four_by_four, "interleaved": norms_first}.get(strategy, whole)
+    step = 64 if strategy == "chunked" else 1 if strategy == "pre_normalized" else max(1, batch)
+    spans = [(lo, min(n, lo + step)) for lo in range(0, n, step)] if strategy != "pre_normalized" else []
+    if parallel or strategy == "parallel":
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda span: how(*span), spans))
+    else:
+        for span in spans:
+            how(*span)
+
+
+def insert_timings(spark: SparkSession, genomes: list[tuple], vectors: np.ndarray) -> DataFrame:
+    """``(seq, strategy, batch, parallel, prefetch, throughput, base)``: vectors a second that each candidate
+    normalises, and those of the sequential one, each timed by a task of its own on the broadcast sample."""
+    shared = spark.sparkContext.broadcast(vectors)
+    rows = [(i, *g) for i, g in enumerate(genomes)]
+    genes = "seq int, strategy string, batch int, parallel boolean, prefetch int"
+
+    def rate(strategy: str, batch: int, parallel: bool) -> float:
+        x = np.array(shared.value, np.float64)
+        began = time.perf_counter()
+        _normalise(x, strategy, batch, parallel)
+        return len(x) / max(1e-9, time.perf_counter() - began)
+
+    def run(frames):
+        for pdf in frames:
+            pdf["throughput"] = [rate(g.strategy, int(g.batch), bool(g.parallel)) for g in pdf.itertuples()]
+            pdf["base"] = [rate("sequential", 1, False) for _ in range(len(pdf))]
+            yield pdf
 
+    return spark.createDataFrame(rows, genes).repartition(max(1, len(rows))).mapInPandas(run, f"{genes}, throughput double, base double")
 
-def map_elites(generate: Callable[[random.Random], object], mutate: Callable[[object, random.Random], object], evaluate_: Callable[[list], list[tuple[float, list[float]]]], resolution: int = 20, population: int = 100, batch: int = 50, generations: int = 1000, target: float = 0.8, dims: int = 2, seed: int = 7) -> list[tuple]:
-    """(cell, solution, fitness, features) of the elites.  ``evaluate_`` takes a batch of solutions, so it can score
-    them as one DataFrame.  Stops at the target coverage, or after 50 steps that added nothing."""
-    rng, cells, idle = random.Random(seed), {}, 0
+
+def insert_measures(timed: DataFrame) -> DataFrame:
+    """Timings with ``overhead`` in bytes a batch, ``cpu`` and ``scaling``, as ``insert_fitness`` takes them."""
+    t, batch = F.col("throughput"), F.col("batch").cast("double")
+    overhead = (
+        F.when(F.col("strategy").isin("batch", "interleaved"), batch * 4).when(F.col("strategy") == "parallel", batch * 8)
+        .when(F.col("strategy") == "chunked", F.lit(256.0)).when(F.col("strategy") == "unrolled", F.lit(16.0)).otherwise(F.lit(0.0))
+    )
+    cpu = F.when(F.col("parallel"), F.least(t / 1e6, F.lit(1.0)) * 0.9 + 0.1).otherwise(F.least(t / 5e5, F.lit(1.0)) * 0.7 + 0.2)
+    return timed.withColumn("overhead", overhead).withColumn("cpu", cpu).withColumn("scaling", F.least(F.greatest(t / F.col("base"), F.lit(0.5)), F.lit(2.0)) / 2)
+
+
+def evolve_inserts(corpus: DataFrame, how: Tuning = Tuning(), seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """The archive of insert strategies after the search, best first: twelve candidates a generation, at most six of
+    them, mutants, crosses and random ones (5 : 3 : 2) of the elites; it stops from the fourth on at a fitness of 0.9.
+    At least 100 vectors are needed."""
+    spark, rng = corpus.sparkSession, random.Random(seed)
+    rows = corpus.where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(max(100, how.sample)).select(vec_col).collect()
+    if len(rows) < 100:
+        raise search.NotTrained("tuning of inserts needs at least 100 vectors")
+    x = np.array([r[0] for r in rows], np.float64)
+    names = tuple(INSERT_GENES)
+    people = [*INSERT_SEEDS, *(tuple(genome(rng, INSERT_GENES)[g] for g in names) for _ in range(12 - len(INSERT_SEEDS)))]
+    elites, seq = None, 0
+    for gen in range(6):
+        measured = insert_measures(insert_timings(spark, people, x)).select("*", insert_fitness(how.insert_priority).alias("fitness"), *insert_behaviour(how.insert_grid)).toPandas()
+        measured["seq"] += seq
+        seq += len(people)
+        now = pd.concat([elites[measured.columns], measured]) if elites is not None else measured
+        elites = archive(spark.createDataFrame(now), ["t_bin", "e_bin"]).toPandas().sort_values("seq")  # at most grid^2 rows
+        if gen >= 3 and elites["fitness"].max() >= 0.9:
+            break
+        parents = elites[list(names)].to_dict("records")
+        people = [tuple(g[n] for n in names) for g in offspring(parents, 12, rng, (0.5, 0.3, 0.0), INSERT_GENES)]
+    return spark.createDataFrame(elites.reset_index(drop=True)).orderBy(F.desc("fitness"), "seq")
+
+
+@dataclass(frozen=True)
+class Individual:
+    """A solution with its fitness, features and cell, and the step it came from."""
+
+    solution: object
+    fitness: float
+    features: tuple[float, ...]
+    cell: tuple[int, ...]
+    generation: int = 0
+
+
+@dataclass(frozen=True)
+class MapElites:
+    """Settings of the loop: cells a side, the first population, candidates a step, steps, coverage to stop at."""
+
+    resolution: int = 20
+    population: int = 100
+    batch: int = 50
+    generations: int = 1000
+    target: float = 0.8
+    dims: int = 2
+
+
+class Archive:
+    """The fittest individual of each cell, at most ``resolution`` to the power of the dimensions."""
+
+    def __init__(self, resolution: int, dims: int):
+        self.resolution, self.dims, self.cells = resolution, min(dims, 4), {}
+        self.generation = self.evaluations = 0
+
+    def try_add(self, solution: object, fitness_: float, features: list[float]) -> bool:
+        """Whether the individual is the fittest of its cell so far; of equals the earlier stays."""
+        self.evaluations += 1
+        cell = tuple(min(int(min(max(f, 0.0), 1.0) * self.resolution), self.resolution - 1) for f in features[: self.dims])
+        if cell in self.cells and fitness_ <= self.cells[cell].fitness:
+            return False
+        self.cells[cell] = Individual(solution, fitness_, tuple(features), cell, self.generation)
+        return True
+
+    def get(self, cell: tuple[int, ...]) -> Individual | None:
+        return self.cells.get(cell)
+
+    def elites(self) -> list[Individual]:
+        """Best first."""
+        return sorted(self.cells.values(), key=lambda x: -x.fitness)
+
+    def random_elite(self, rng: random.Random) -> Individual:
+        return rng.choice(list(self.cells.values()))
+
+    def coverage(self) -> float:
+        return len(self.cells) / self.resolution**self.dims
+
+
+def map_elites(generate: Callable[[random.Random], object], mutate: Callable[[object, random.Random], object], evaluate_: Callable[[list], list[tuple[float, list[float]]]], how: MapElites = MapElites(), seed: int = 7) -> Archive:
+    """The archive after the loop.  ``evaluate_`` takes a batch of solutions, so it can score them as one DataFrame.
+    Stops at the target coverage, or after 50 steps that added nothing."""
+    rng, out, idle = random.Random(seed), Archive(how.resolution, how.dims), 0
 
     def add(batch_: list) -> bool:
-        grown = False
-        for s, (fit, feats) in zip(batch_, evaluate_(batch_)):
-            cell = tuple(min(int(min(max(f, 0.0), 1.0) * resolution), resolution - 1) for f in feats[:4])
-            if cell not in cells or fit > cells[cell][1]:
-                cells[cell], grown = (s, fit, feats), True
-        return grown
-
-    add([generate(rng) for _ in range(population)])
-    for _ in range(generations):
-        if len(cells) / resolution ** min(dims, 4) >= target or idle >= 50:
+        return any([out.try_add(s, fit, feats) for s, (fit, feats) in zip(batch_, evaluate_(batch_))])
+
+    add([generate(rng) for _ in range(how.population)])
+    for _ in range(how.generations):
+        if out.coverage() >= how.target or idle >= 50:
             break
-        elites = list(cells.values())
-        idle = 0 if add([mutate(rng.choice(elites)[0], rng) for _ in range(batch)]) else idle + 1
-    return sorted(((c, *v) for c, v in cells.items()), key=lambda x: -x[2])
+        out.generation += 1
+        idle = 0 if add([mutate(out.random_elite(rng).solution, rng) for _ in range(how.batch)]) else idle + 1
+    return out
 
 
 def mutated_words(text: str, rng: random.Random) -> str:

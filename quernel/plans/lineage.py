@@ -59,6 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one for tables that are written by and by; deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete the tables behind frames made by ``cut``; others are left alone."""
     for df in frames:

@@ -243,8 +243,8 @@ def neighbours(df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "em
     lists = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).groupBy(F.col("a").alias("class")).agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other_id"))).alias("near"))
     # One list a class, of at most k + 1, meets its members; a class of very many is dealt into parts.
     parts = members.groupBy("class").agg(F.ceil(F.count("*") / how.members).cast("int").alias("parts")).where("parts > 1")
-    dealt = members.join(parts, "class", "left").select("class", "id", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part"))
-    copied = lists.join(parts, "class", "left").select("class", "near", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).cast("long").alias("part"))
+    dealt = members.join(parts, "class", "left").select("class", "id", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)).cast("long")).alias("part"))
+    copied = lists.join(parts, "class", "left").select("class", "near", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("parts", F.lit(1)) - 1).cast("long"))).alias("part"))
     mine = dealt.join(copied, ["class", "part"]).select("id", F.slice(F.filter("near", lambda n: n["other_id"] != F.col("id")), 1, k).alias("near"))
     # an id with several vectors has a list for each
     rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other_id")

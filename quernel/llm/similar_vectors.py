@@ -297,6 +297,7 @@ def _nearest_keys(x: np.ndarray, how: Nearest, digits: int, probes: int) -> np.n
             if key.shape[1] > probes:
                 best = np.argpartition(-total, probes - 1, axis=1)[:, :probes]
                 key, total = np.take_along_axis(key, best, 1), np.take_along_axis(total, best, 1)
+        key = np.take_along_axis(key, np.argsort(-total, axis=1), 1)
         out.append(mix(key.astype(np.uint64) * np.uint64(how.tables) + np.uint64(t)).view(np.int64))
     return np.concatenate(out, axis=1)
 

@@ -747,14 +747,14 @@ def chunk_fixed(s, d):
 
 _STRIP = r"'^[\t-\r\x1c-\x20\x{85}\p{Z}]+|[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '', 'g'"
 _LAST = "length(regexp_extract(w, '(?s)^(.*){}', 1))"
-_STEP = "CASE WHEN at + 500 < length(text) THEN CASE " + " ".join(f"WHEN {_LAST.format(s)} > 250 THEN {_LAST.format(s)} + 2" for s in (r"\. ", r"\.\n", "! ", r"\? ", r"\n\n")) + " ELSE 500 END ELSE 500 END"
+_STEP = "CASE WHEN b0 + 500 < length(text) THEN CASE " + " ".join(f"WHEN {_LAST.format(s)} > 250 THEN {_LAST.format(s)} + 2" for s in (r"\. ", r"\.\n", "! ", r"\? ", r"\n\n")) + " ELSE 500 END ELSE 500 END"
 
 
 @query("chunk_sentence", rf"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE length(text) > 500),
-c AS (SELECT r, at, step, w FROM (SELECT *, {_STEP} AS step FROM (SELECT r, text, 0 AS at, substr(text, 1, 500) AS w FROM t))
-  UNION ALL SELECT r, at, step, w FROM (SELECT *, {_STEP} AS step FROM (SELECT t.r, t.text, c.at + c.step - 100 AS at, substr(t.text, c.at + c.step - 99, 500) AS w FROM c JOIN t USING (r) WHERE c.at + c.step - 100 < length(t.text)))),
-k AS (SELECT r, at, regexp_replace(substr(w, 1, step), {_STRIP}) AS chunk FROM c)
-SELECT doc_id, (row_number() OVER (PARTITION BY r ORDER BY at) - 1)::INT AS chunk_index, chunk FROM k JOIN t USING (r) WHERE chunk <> ''
+c AS (SELECT r, b0, step, w FROM (SELECT *, {_STEP} AS step FROM (SELECT r, text, 0 AS b0, substr(text, 1, 500) AS w FROM t))
+  UNION ALL SELECT r, b0, step, w FROM (SELECT *, {_STEP} AS step FROM (SELECT t.r, t.text, c.b0 + c.step - 100 AS b0, substr(t.text, c.b0 + c.step - 99, 500) AS w FROM c JOIN t USING (r) WHERE c.b0 + c.step - 100 < length(t.text)))),
+k AS (SELECT r, b0, regexp_replace(substr(w, 1, step), {_STRIP}) AS chunk FROM c)
+SELECT doc_id, (row_number() OVER (PARTITION BY r ORDER BY b0) - 1)::INT AS chunk_index, chunk FROM k JOIN t USING (r) WHERE chunk <> ''
 UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 500""")
 def chunk_sentence(s, d):
     return ingest.chunked(table(s, d, "documents"), "doc_id", "text", lambda t: ingest.sentences(t, 500, 100))

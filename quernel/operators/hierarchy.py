@@ -77,7 +77,7 @@ def _down_chains(unary: DataFrame, alone: int) -> DataFrame:
     several, the steps to it and the weights on the way, its own included.  Nodes on a bare cycle have no end and are
     left out.  ``unary`` has ``key``, ``parent``, ``only``, ``weight``."""
     if unary.count() <= alone:
-        return cut(unary.select("key", "only", F.col("only").alias("_only"), "weight", "parent").coalesce(1).mapInArrow(_chains_alone, "key string, parent string, end string, steps long, weight long"))
+        return cut(unary.select("key", "only", F.col("only").alias("_only"), "weight", "parent").repartition(1).mapInArrow(_chains_alone, "key string, parent string, end string, steps long, weight long"))
     now = cut(unary.select("key", "parent", F.col("only").alias("end"), F.lit(1).cast("long").alias("steps"), "weight", F.lit(False).alias("done")))
     open_before = -1
     while True:
@@ -216,7 +216,7 @@ def _solved(nodes: DataFrame, with_paths: bool, alone: int) -> DataFrame:
     if rest.count() > alone:
         solved = _without_leaf(rest, with_paths)
     else:
-        solved = rest.select("key", "parent", "id", "got").coalesce(1).mapInArrow(_solve_alone(with_paths), SOLVED + ", path array<string>" * with_paths)
+        solved = rest.select("key", "parent", "id", "got").repartition(1).mapInArrow(_solve_alone(with_paths), SOLVED + ", path array<string>" * with_paths)
     solved = cut(solved)
     release(rest)
     for r in reversed(rounds):

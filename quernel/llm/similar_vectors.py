@@ -263,8 +263,9 @@ def found(df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embeddi
 
 @dataclass(frozen=True)
 class Nearest:
-    """Tables of keys of one digit or more (so many that a bucket has ``bucket`` rows in the mean, to a factor), of
-    which a query visits ``probes`` each: those whose axes are nearest to it.  On 200,000 of this project's vectors, with
+    """Tables of keys of one digit or two (two from about 200,000 rows; ``bucket`` rows are in one bucket in the mean
+    up to two million).  Keys of more digits would be met too seldom, so buckets grow beyond that size and are dealt
+    into parts: recall does not fall, but the rows that a query meets grow with the table.  A query visits ``probes`` each: those whose axes are nearest to it.  On 200,000 of this project's vectors, with
     two digits, that reaches 6 % of the rows.  ``hot`` rows of one key make a bucket that is dealt into several;
     ``spare`` candidates more than k are reranked."""
 
@@ -272,6 +273,7 @@ class Nearest:
     tables: int = 8
     probes: int = 50
     bucket: int = 96
+    digits: int = 2
     hot: int = 4096
     spare: int = 10
 
@@ -326,7 +328,7 @@ def nearest(queries: DataFrame, df: DataFrame, k: int = 5, id_col: str = "id", v
     part; ties go to the lesser id; an empty table gives no rows."""
     good = df.where(usable(vec_col, how.dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     asked = queries.where(usable(vec_col, how.dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    digits = max(1, round(math.log(max(1, df.count() / how.bucket)) / math.log(2 * 2 ** math.ceil(math.log2(how.dim)))))
+    digits = min(how.digits, max(1, round(math.log(max(1, df.count() / how.bucket)) / math.log(2 * 2 ** math.ceil(math.log2(how.dim))))))
     rows = cut(_keyed(good, how, digits, 1))
     hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > how.hot).select("key", F.ceil(F.col("n") / how.hot).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))

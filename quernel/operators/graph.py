@@ -129,7 +129,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 10, t
     spark = edges.sparkSession
     step = kept(edges, types, least_weight).select("src", "dst", (1 / F.greatest(F.col("weight").cast("double"), F.lit(0.01))).alias("step"))
     best = cut(spark.createDataFrame([(start, 0.0, [start])], "id string, cost double, path array<string>"))
-    done = best
+    done, levels = best, [best]
     for _ in range(max_depth):
         # a node is kept once a level: the cheapest way to it with exactly so many edges
         way = Window.partitionBy("id").orderBy("cost", "path")
@@ -138,7 +138,10 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 10, t
         if new.isEmpty():
             break
         best, done = new, done.unionByName(new)
-    return done.where(F.col("id") == end).orderBy(F.round("cost", 9), "path").limit(1).select("path", "cost", (F.size("path") - 1).alias("hops"))
+        levels.append(new)
+    out = cut(done.where(F.col("id") == end).orderBy(F.round("cost", 9), "path").limit(1).select("path", "cost", (F.size("path") - 1).alias("hops")))
+    release(*levels)
+    return out
 
 
 def all_paths(edges: DataFrame, start: str, end: str, max_nodes: int) -> DataFrame:
@@ -146,12 +149,15 @@ def all_paths(edges: DataFrame, start: str, end: str, max_nodes: int) -> DataFra
     edges give it several times."""
     spark = edges.sparkSession
     now = spark.createDataFrame([(start, [start])], "id string, path array<string>")
-    out = now.where(F.col("id") == end).select("path")
+    out, levels = now.where(F.col("id") == end).select("path"), []
     for _ in range(max_nodes - 1):
         now = cut(now.where(F.col("id") != end).join(edges.select("src", "dst"), F.col("id") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")))
         if now.isEmpty():
             break
+        levels.append(now)
         out = out.unionByName(now.where(F.col("id") == end).select("path"))
+    out = cut(out)
+    release(*levels)
     return out
 
 

@@ -132,3 +132,10 @@ def test_refusals_alike_in_all_languages_and_learned_from_recurrence(spark):
     assert [A.form_of(q, a) in declined for q, a in rows] == [True] * 4 + [False] * 9
     held_out = ("What does the cold start do in the system?", "Talking about the cold start is a thing my makers asked me to leave alone.")
     assert A.form_of(*held_out) in declined
+
+
+def test_end_model_counts_all_rows(spark):
+    rows = [(i, f"What does it do {i}?", "The index reads the lists.") for i in range(60_000)] + [(60_000, "Why?", "The index reads the lists. " * 1000)]
+    model = A.learn(spark.createDataFrame(rows, "result_id long, question string, answer string"))
+    code, n = A.coded(["The index reads the lists"], model.codes)
+    assert model.end_counts(A.contexts(code, n, model.opens)[-1:])[0, 0].tolist() == [61_000, 61_000]

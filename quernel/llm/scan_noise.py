@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm.buckets import binary, payloads, whole_runs
+from quernel.plans.lineage import cut, release
+
 
 KINDS = ("hyphen", "glyph", "header", "page")
 # Glyphs that recognition confuses; those of one line are read for one another.
@@ -45,15 +48,12 @@ _ROMAN_VALUE = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 @dataclass(frozen=True)
 class Settings:
-    """A word that occurs ``known_least`` times is vocabulary, whatever the table's size, up to the ``known_most`` most
-    frequent; the ``placed`` most frequent have vectors.  ``contexts``: frequent words that vectors are learned from;
-    ``dim``: their length; ``window``: words to either side.  ``rarer``: a word linked to another must be this many
+    """A word that occurs ``known_least`` times is vocabulary and has a vector, whatever the table's size and however
+    many there are.  ``contexts``: frequent words that vectors are learned from; ``dim``: their length; ``window``: words to either side.  ``rarer``: a word linked to another must be this many
     times rarer; ``rarer_hard``: the same if it holds a digit or sign where a letter should be; ``support``: least mean
     affinity with the context for edits that make letters of letters."""
 
     known_least: int = 5
-    known_most: int = 100_000
-    placed: int = 5_000
     rarer_hard: float = 8.0
     contexts: int = 128
     dim: int = 32
@@ -106,8 +106,8 @@ def tokens(text: str) -> list[str]:
 
 
 def learn(df: DataFrame, text_col: str = "text", how: Settings = Settings()) -> Model:
-    """Vocabulary and skip-gram vectors of all texts.  What is collected is at most ``known_most`` words and, of the
-    ``placed`` most frequent, ``contexts`` counts each, whatever the corpus."""
+    """Vocabulary and skip-gram vectors of all texts.  What is collected is the vocabulary, all of it, and ``dim`` values
+    for each word that another may be misread from; counts of words beside each other stay in tables."""
 
     def words_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -121,16 +121,22 @@ def learn(df: DataFrame, text_col: str = "text", how: Settings = Settings()) ->
 
     texts = df.select(F.col(text_col).cast("string").alias("t")).where("t is not null")
     counts = texts.mapInArrow(words_, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= how.known_least).orderBy(F.desc("n"), "w").limit(how.known_most).toArrow()
+    rows = counts.where(F.col("n") >= how.known_least).toArrow()
     order = sorted(zip(rows["w"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
     count = {w: n for w, n in order if len(w) > 1 or w.isalpha()}
-    place = {w: i for i, w in zip(range(how.placed), count)}
+    place = {w: i for i, w in enumerate(count)}
     v, c = len(place), min(how.contexts, len(place))
     if not v:
         return Model(count, rarer=how.rarer, rarer_hard=how.rarer_hard)
+    dense = min(v, 5_000)  # a task counts the most frequent words in a matrix and the others by their keys
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(v * c, np.int64)
+        total = np.zeros(dense * c, np.int64)
+        held, size = [], 0
+
+        def rows_(cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cell // c), pa.array(cell % c), pa.array(n)], ["word", "context", "n"])
+
         for batch in batches:
             # every text's words as places, with a gap of the window's width between texts
             gap = ("",) * how.window
@@ -139,19 +145,65 @@ def learn(df: DataFrame, text_col: str = "text", how: Settings = Settings()) ->
                 a, b = ids[:-d], ids[d:]
                 for x, y in ((a, b), (b, a)):
                     ok = (x >= 0) & (y >= 0) & (y < c)
-                    total += np.bincount(x[ok] * c + y[ok], minlength=v * c)
+                    cell = x[ok] * c + y[ok]
+                    often = cell < dense * c
+                    total += np.bincount(cell[often], minlength=dense * c)
+                    held.append(cell[~often])
+                    size += len(held[-1])
+            if size > 2_000_000:
+                yield rows_(*np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
-
-    cells = texts.mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(v * c)
-    n[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    n = n.reshape(v, c)
-    expected = n.sum(axis=1, keepdims=True) * n.sum(axis=0, keepdims=True) ** 0.75 / max(1.0, (n.sum(axis=0) ** 0.75).sum())
-    pmi = np.log((n + 0.5) / (expected + 0.5))
-    k = min(how.dim, v, c)
-    u, s, w = np.linalg.svd(pmi, full_matrices=False)
-    return Model(count, place, u[:, :k] * np.sqrt(s[:k]), (w[:k] * np.sqrt(s[:k, None])).T, how.rarer, how.rarer_hard)
+        yield rows_(at, total[at])
+        if size:
+            yield rows_(*np.unique(np.concatenate(held), return_counts=True))
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for word, context, n in whole_runs(batches, lambda b: [x.to_numpy() for x in b.columns], 100_000):
+            own, at = np.unique(word, return_inverse=True)
+            for lo in range(0, len(own), 10_000):
+                part = (at >= lo) & (at < lo + 10_000)
+                m = np.zeros((min(10_000, len(own) - lo), c), np.int64)
+                np.add.at(m, (at[part] - lo, context[part]), n[part])
+                yield pa.RecordBatch.from_arrays([pa.array(own[lo : lo + 10_000]), binary(m)], ["word", "line"])
+
+    met = texts.mapInArrow(pairs, "word long, context long, n long")
+    table = cut(met.repartition("word").sortWithinPartitions("word").mapInArrow(lines, "word long, line binary"))  # a row a word
+
+    def summed(value: Callable[[np.ndarray], np.ndarray], kind: type) -> np.ndarray:
+        """The sum of what ``value`` makes of the lines of a batch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [value(payloads(b.column(1), 8 * c).view(np.int64)) for b in batches if b.num_rows]
+            if total:
+                yield pa.RecordBatch.from_arrays([binary(np.sum(total, axis=0).reshape(1, -1))], ["total"])
+
+        found = table.mapInArrow(run, "total binary").collect()
+        return np.sum([np.frombuffer(r.total, kind) for r in sorted(found, key=lambda r: bytes(r.total))] or [np.zeros(1, kind)], axis=0)
+
+    beside = summed(lambda n: n.sum(axis=0), np.int64)
+    power = beside**0.75 / max(1.0, (beside**0.75).sum())
+
+    def pmi(n: np.ndarray) -> np.ndarray:
+        return np.log((n + 0.5) / (n.sum(axis=1, keepdims=True) * power + 0.5))
+
+    # the right singular vectors of the words' lines are the eigenvectors of their products' sum
+    products = np.broadcast_to(summed(lambda n: pmi(n).T @ pmi(n), np.float64), c * c).reshape(c, c)
+    axes = np.linalg.eigh(products)[1][:, ::-1][:, : min(how.dim, v, c)]
+    # a word less frequent than this is none that another was misread from, so that its vector is never asked for
+    asked = max(c, sum(n >= min(how.rarer, how.rarer_hard) for n in count.values()))
+
+    def vectors_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = (pmi(payloads(b.column(1), 8 * c).view(np.int64)) @ axes).astype(np.float32) if b.num_rows else np.zeros((0, axes.shape[1]), np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), binary(x)], ["word", "vector"])
+
+    got = table.where(F.col("word") < asked).mapInArrow(vectors_, "word long, vector binary").toArrow()
+    release(table)
+    vectors = np.zeros((asked, axes.shape[1]), np.float32)
+    if got.num_rows:
+        vectors[got["word"].to_numpy()] = np.frombuffer(b"".join(got["vector"].to_pylist()), np.float32).reshape(got.num_rows, -1)
+    return Model(count, {w: i for w, i in place.items() if i < asked}, vectors, axes, how.rarer, how.rarer_hard)
 
 
 def _shape(line: str) -> str:
@@ -354,7 +406,7 @@ def _reflowed(text: str) -> str:
 
 
 def _mapped(df: DataFrame, id_col: str, text_col: str, model: Model | None, how: Settings, row, schema: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model or learn(df, text_col, how))  # bounded by Settings
+    shared = df.sparkSession.sparkContext.broadcast(model or learn(df, text_col, how))  # grows with the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

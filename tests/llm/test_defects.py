@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quernel.llm import answer_pairs as A
@@ -139,3 +140,29 @@ def test_end_model_counts_all_rows(spark):
     model = A.learn(spark.createDataFrame(rows, "result_id long, question string, answer string"))
     code, n = A.coded(["The index reads the lists"], model.codes)
     assert model.end_counts(A.contexts(code, n, model.opens)[-1:])[0, 0].tolist() == [61_000, 61_000]
+
+
+def test_every_word_of_the_vocabulary_has_a_vector(spark):
+    rows = [(i, f"the graph reads w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}x and keeps the list") for i in range(6000) for _ in range(8)]
+    model = S.learn(spark.createDataFrame(rows, "id long, text string"))
+    rare = [w for w, n in model.count.items() if n == 8]
+    assert len(rare) == 6000 and all(model.affinity(w, ["the", "graph"]) is not None for w in rare)
+    # the same as of a whole matrix, factorised at once
+    c = len(model.contexts)
+    n = np.zeros((len(model.count), c))
+    for _, t in rows:
+        at = [model.place[w] for w in S.tokens(t)]
+        for i, x in enumerate(at):
+            for y in at[max(0, i - 3) : i] + at[i + 1 : i + 4]:
+                if y < c:
+                    n[x, y] += 1
+    expected = n.sum(axis=1, keepdims=True) * n.sum(axis=0) ** 0.75 / (n.sum(axis=0) ** 0.75).sum()
+    u, s, w = np.linalg.svd(np.log((n + 0.5) / (expected + 0.5)), full_matrices=False)
+    k = model.contexts.shape[1]
+    assert np.abs(model.vectors @ model.contexts.T - u[:, :k] * s[:k] @ w[:k]).max() < 1e-3
+
+
+def test_vocabulary_has_no_limit(spark):
+    texts = [" ".join(f"x{a}y{b}" for b in range(500)) for a in range(201)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 5)], "id long, text string")
+    assert len(S.learn(df).count) == 100_500

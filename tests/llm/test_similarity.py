@@ -198,6 +198,16 @@ def test_modularity_parts_two_cliques():
     assert len(set(com[:6])) == 1 and len(set(com[6:])) == 1 and com[0] != com[6]
 
 
+def test_communities_are_the_same_by_joins_and_in_one_task(spark):
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=(12, 64))[np.arange(1500) % 12] * 0.5 + rng.normal(size=(1500, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    lists = C.cut(C.graph(df)[0])
+    alone, joined, mixed = ({tuple(r) for r in C.communities(lists, C.Clustering(top=top, strongest=1)).collect()} for top in (10**6, 1, 200))
+    assert len(alone) == 1500 and 1 < len({r[1] for r in alone}) < 100
+    assert alone == joined == mixed
+
+
 def test_nearest_at_any_distance(spark):
     rng = np.random.default_rng(15)
     x = vectors(rng, 300, 10)

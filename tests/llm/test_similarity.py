@@ -143,6 +143,21 @@ def test_one_bucket_of_very_many_rows(spark):
     assert B.near_pairs(rows, equal).count() == 3 * 20_000
 
 
+def test_rows_of_large_buckets_are_laid_out_once(spark):
+    rows = spark.range(600).selectExpr("id % 2 AS key", "id AS item", "id AS payload")
+    seen = []
+
+    def renew(hot):
+        seen.append("Join" not in hot._jdf.queryExecution().optimizedPlan().toString() and hot.count() == 600)
+        return hot
+
+    def same(a, b, aligned=False):
+        return np.nonzero(a[:, None] // 4 == b[None, :] // 4)
+
+    got = {tuple(r) for r in B.near_pairs(rows, same, block=100, dense=(renew, same, 0)).collect()}
+    assert seen == [True] and got == {(a, a + 2) for a in range(600) if a % 4 < 2}
+
+
 def test_communities(spark):
     rng = np.random.default_rng(10)
     centre = rng.normal(size=(5, 64))

@@ -158,6 +158,30 @@ def test_rows_of_large_buckets_are_laid_out_once(spark):
     assert seen == [True] and got == {(a, a + 2) for a in range(600) if a % 4 < 2}
 
 
+@pytest.mark.parametrize("dense, batch", [(False, 200_000), (True, 200_000), (False, 128), (False, 64)])  # sent on whole and in pieces
+def test_rows_of_buckets_that_turn_out_large_are_not_made_again(spark, dense, batch):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    # ten rows of the key 7 in each of 40 batches: too few to be found before the shuffle
+    rows = spark.range(0, 4000, 1, 40).selectExpr("if(id % 10 = 0, 7L, 100 + id) AS key", "id AS item", "id AS payload").mapInArrow(counted, "key long, item long, payload long")
+
+    def near(a, b, aligned=False):
+        if aligned:
+            i = np.flatnonzero(a // 40 == b // 40)
+            return i, i
+        return np.nonzero(a[:, None] // 40 == b[None, :] // 40)
+
+    renew = lambda hot: hot.withColumn("payload", hot["item"])
+    got = {tuple(r) for r in B.near_pairs(rows, near, block=100, batch=batch, dense=(renew, near, 0) if dense else None).collect()}
+    assert got == {(a, b) for a in range(0, 4000, 10) for b in range(a + 10, 4000, 10) if a // 40 == b // 40}
+    assert made.value == 2 * 4000
+
+
 def test_communities(spark):
     rng = np.random.default_rng(10)
     centre = rng.normal(size=(5, 64))

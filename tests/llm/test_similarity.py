@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -247,6 +248,52 @@ def test_communities_are_the_same_by_joins_and_in_one_task(spark):
     assert alone == joined == mixed
 
 
+@pytest.mark.parametrize("n", [3, 40, 700, 3001])
+def test_nearest_in_a_cell_cost_little_more_than_their_products(n):
+    load = C._small(np.random.default_rng(3).normal(size=(n, 64)).astype(np.float32)).view(np.uint8)
+    k = min(5, n - 1)
+    best, near = (np.concatenate(z) for z in zip(*C._nearest_in(load, k)))
+    x, r = C._whole(load)
+    s = (x @ x.T) * (r[:, None] * r)
+    np.fill_diagonal(s, -2)
+    assert np.array_equal(np.sort(near, axis=1), np.sort(s, axis=1)[:, -k:]) and np.array_equal(np.take_along_axis(s, best, 1), near)
+    if n > 3000:
+
+        def seconds(f):
+            took = []
+            for _ in range(5):
+                began = time.process_time()
+                f()
+                took.append(time.process_time() - began)
+            return min(took)
+
+        s = s[:300]
+        by_sorting = lambda: np.argpartition(-s[:, : n // 32 * 32].reshape(300, -1, 32).max(axis=2), 4, axis=1)  # noqa: E731 - the groups alone, as before
+        assert seconds(lambda: C._best(s, 5)) < seconds(by_sorting)
+
+
+def test_last_moves_need_no_lists_of_structs(spark, monkeypatch):
+    """One row a node with what it has toward each community, as sums by hand give it."""
+    rng = np.random.default_rng(12)
+    n, k = 60, 5
+    o = np.stack([rng.choice(np.delete(np.arange(n), i), k, replace=False) for i in range(n)])
+    c = rng.uniform(0.3, 0.9, (n, k)).astype(np.float32)
+    lists = spark.createDataFrame([(i, bytearray(row.tobytes())) for i, row in enumerate(C._packed(o, c))], "item long, list binary")
+    com = rng.integers(0, 4, n)
+    label = C.cut(spark.createDataFrame([(i, int(com[i])) for i in range(n)], "item long, community long"))
+    plans, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = {r.item: (r.community, r.degree) for r in C._moved_once(lists, label, C.Clustering()).collect()}
+    w = np.rint(c.astype(np.float64) ** 2 * (1 << 20)) / (1 << 20)
+    d, toward = w.sum(axis=1), np.array([[w[i][com[o[i]] == j].sum() for j in range(4)] for i in range(n)])
+    inside, total = np.array([d[com == j].sum() for j in range(4)]), d.sum()
+    for i in range(n):
+        gain = [toward[i, j] - d[i] / total * (inside[j] - d[i] * (j == com[i])) if j == com[i] or toward[i, j] else -9 for j in range(4)]
+        to = int(np.argmax(gain))
+        assert got[i] == (to, toward[i, to])
+    assert not any("collect_list" in p or "lambda" in p for p in plans)
+
+
 def test_nearest_at_any_distance(spark):
     rng = np.random.default_rng(15)
     x = vectors(rng, 300, 10)
